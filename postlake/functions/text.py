@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlake.functions.once import bind
+
 # The blanks a browser's regular expressions call white space.
 BLANK = (
     r"[\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -76,24 +78,34 @@ def _character(number: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """One pass of entity decoding: what an entity stands for is not decoded again."""
-    out = c
-    for name, text in NAMED_ENTITIES.items():
-        if name != "amp":
-            out = F.regexp_replace(out, f"(?i)&{name};", text)
-    entities = F.array_distinct(
-        F.regexp_extract_all(c, F.lit(r"(&#(?:[xX][0-9a-fA-F]+|[0-9]+);)"), F.lit(1))
-    )
 
-    def put(text: Column, entity: Column) -> Column:
-        number = _code_point(entity)
-        return F.when(number <= 0x10FFFF, F.replace(text, entity, _character(number))).otherwise(
-            text
+    def named(v: Column) -> Column:
+        out = v
+        for name, text in NAMED_ENTITIES.items():
+            if name != "amp":
+                out = F.regexp_replace(out, f"(?i)&{name};", text)
+        return out
+
+    def numeric(v: Column) -> Column:
+        found = F.array_distinct(
+            F.regexp_extract_all(v, F.lit(r"(&#(?:[xX][0-9a-fA-F]+|[0-9]+);)"), F.lit(1))
         )
+        return F.aggregate(
+            found,
+            named(v),
+            lambda text, entity: bind(
+                _code_point(entity),
+                lambda n: F.when(n <= 0x10FFFF, F.replace(text, entity, _character(n))).otherwise(text),
+            ),
+        )
+
+    def last(v: Column) -> Column:
+        return F.translate(F.regexp_replace(v, "(?i)&amp;", _AMP_MARK), _AMP_MARK, "&")
 
-    numeric = F.aggregate(entities, out, put)
-    out = F.when(c.contains("&#"), numeric).otherwise(out)
-    out = F.regexp_replace(out, "(?i)&amp;", _AMP_MARK)
-    return F.when(c.contains("&"), F.translate(out, _AMP_MARK, "&")).otherwise(c)
+    return bind(
+        c,
+        lambda v: F.when(v.contains("&#"), last(numeric(v))).when(v.contains("&"), last(named(v))).otherwise(v),
+    )
 
 
 def html_text(c: Column, limit: int | None = 1200) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.functions.once import bind, with_fields
+
 # Query parameters that only track.
 TRACKING_PARAMETERS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source")
 TRACKING_PREFIX = "utm_"
@@ -49,93 +51,96 @@ def _resolve_dots(path: Column) -> Column:
 
 
 def with_address(df: DataFrame, value: str, out: str, base: str | None = None) -> DataFrame:
-    """Add struct ``out`` (url, scheme, host, port, path, query, fragment) or NULL.
+    """Add struct ``out`` (url, scheme, host, port, path, query, fragment, folder) or NULL.
 
     Only http and https without user info count. ``url`` is canonical: lower-case host, no
     fragment, no default port, no tracking parameters, no trailing slash. ``base`` names a
     struct of this kind, against which relative references resolve.
     """
-    text = F.regexp_replace(F.trim(F.regexp_replace(F.col(value), r"^\s+|\s+$", "")), r"[\t\n\r]", "")
-    df = df.withColumn("__ref", text)
-    ref = F.col("__ref")
+    text = F.regexp_replace(F.regexp_replace(F.col(value), r"^\s+|\s+$", ""), r"[\t\n\r]", "")
     if base is None:
-        full = ref
+        parts = bind(text, _split)
     else:
         b = F.col(base)
-        port = F.when(b["port"] != "", F.concat(F.lit(":"), b["port"])).otherwise("")
-        origin = F.concat(b["scheme"], F.lit("://"), b["host"], port)
-        folder = F.regexp_replace(b["path"], "[^/]*$", "")
-        full = (
-            F.when(ref.rlike(_ABSOLUTE), ref)
-            .when(ref.startswith("//"), F.concat(b["scheme"], F.lit(":"), ref))
-            .when(ref.startswith("/"), F.concat(origin, ref))
-            .when(ref.startswith("?"), F.concat(origin, b["path"], ref))
-            .when(ref.startswith("#") | (ref == ""), F.concat(origin, b["path"], b["query"], ref))
-            .otherwise(F.concat(origin, folder, ref))
-        )
-    df = df.withColumn("__full", full)
-    full = F.col("__full")
-    df = df.withColumn(
-        "__parts",
-        F.when(
-            full.rlike(_PARTS),
-            F.struct(
-                F.lower(F.regexp_extract(full, _PARTS, 1)).alias("scheme"),
-                F.regexp_extract(full, _PARTS, 2).alias("authority"),
-                F.regexp_extract(full, _PARTS, 3).alias("path"),
-                F.regexp_extract(full, _PARTS, 4).alias("query"),
-                F.regexp_extract(full, _PARTS, 5).alias("fragment"),
-            ),
-        ),
+        parts = bind(text, lambda ref: bind(_against(ref, b), _split))
+    df = with_fields(df, "__p_", parts, ("scheme", "authority", "path", "query", "fragment"))
+    p = lambda name: F.col(f"__p_{name}")
+    path = bind(F.when(p("path") == "", "/").otherwise(_encode(p("path"))), _resolve_dots)
+    kept = F.filter(
+        F.split(F.substring(p("query"), 2, 1_000_000), "&"), lambda pair: ~_is_tracking(pair)
     )
-    p = F.col("__parts")
-    host = F.lower(F.regexp_extract(p["authority"], _AUTHORITY, 2))
-    port = F.regexp_extract(p["authority"], _AUTHORITY, 3)
-    default_port = ((p["scheme"] == "https") & (port == "443")) | (
-        (p["scheme"] == "http") & (port == "80")
+    fields = F.struct(
+        p("scheme").alias("scheme"),
+        F.lower(F.regexp_extract(p("authority"), _AUTHORITY, 2)).alias("host"),
+        F.regexp_extract(p("authority"), _AUTHORITY, 3).alias("port"),
+        path.alias("path"),
+        _encode(F.array_join(kept, "&")).alias("query"),
+        p("fragment").alias("fragment"),
+        p("authority").contains("@").alias("has_user"),
     )
-    kept = F.filter(
-        F.split(F.substring(p["query"], 2, 1_000_000), "&"),
-        lambda pair: ~_is_tracking(pair),
+    df = with_fields(
+        df, "__s_", fields, ("scheme", "host", "port", "path", "query", "fragment", "has_user")
     )
-    query = F.array_join(kept, "&")
-    path = _resolve_dots(F.when(p["path"] == "", "/").otherwise(_encode(p["path"])))
-    df = df.withColumn(
-        "__safe",
-        F.when(
-            p.isNotNull()
-            & (host != "")
-            & ~host.rlike(r"""[\s<>"^|%]""")
-            & ~p["authority"].contains("@"),
-            F.struct(
-                p["scheme"].alias("scheme"),
-                host.alias("host"),
-                F.when(default_port, "").otherwise(port).alias("port"),
-                F.when(
-                    F.length(path) > 1,
-                    F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/")),
-                )
-                .otherwise(path)
-                .alias("path"),
-                F.when(query != "", F.concat(F.lit("?"), _encode(query)))
-                .otherwise("")
-                .alias("query"),
-                p["fragment"].alias("fragment"),
-            ),
-        ),
+    s = lambda name: F.col(f"__s_{name}")
+    default_port = ((s("scheme") == "https") & (s("port") == "443")) | (
+        (s("scheme") == "http") & (s("port") == "80")
     )
-    s = F.col("__safe")
+    port = F.when(default_port, "").otherwise(s("port"))
+    bare = F.regexp_replace(s("path"), "/+$", "")
+    path = F.when(bare == "", "/").otherwise(bare)
+    query = F.when(s("query") != "", F.concat(F.lit("?"), s("query"))).otherwise("")
     url = F.concat(
-        s["scheme"],
-        F.lit("://"),
-        s["host"],
-        F.when(s["port"] != "", F.concat(F.lit(":"), s["port"])).otherwise(""),
-        s["path"],
-        s["query"],
+        s("scheme"), F.lit("://"), s("host"),
+        F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), path, query,
+    )
+    sound = (s("host") != "") & ~s("host").rlike(r"""[\s<>"^|%]""") & ~s("has_user")
+    address = F.when(
+        sound,
+        F.struct(
+            url.alias("url"),
+            s("scheme").alias("scheme"),
+            s("host").alias("host"),
+            port.alias("port"),
+            path.alias("path"),
+            query.alias("query"),
+            s("fragment").alias("fragment"),
+            F.regexp_replace(s("path"), "[^/]*$", "").alias("folder"),
+        ),
+    )
+    names = ("url", "scheme", "host", "port", "path", "query", "fragment", "folder")
+    df = with_fields(df, "__a_", address, names)
+    packed = F.struct(*[F.col(f"__a_{n}").alias(n) for n in names])
+    return df.withColumn(out, F.when(F.col("__a_url").isNotNull(), packed)).drop(
+        *[f"__a_{n}" for n in names]
+    ).drop(*[c for c in df.columns if c.startswith(("__p_", "__s_"))])
+
+
+def _split(full: Column) -> Column:
+    part = lambda n: F.regexp_extract(full, _PARTS, n)
+    return F.when(
+        full.rlike(_PARTS),
+        F.struct(
+            F.lower(part(1)).alias("scheme"),
+            part(2).alias("authority"),
+            part(3).alias("path"),
+            part(4).alias("query"),
+            part(5).alias("fragment"),
+        ),
+    )
+
+
+def _against(ref: Column, b: Column) -> Column:
+    """Absolute form of a reference, given the address it stands on."""
+    port = F.when(b["port"] != "", F.concat(F.lit(":"), b["port"])).otherwise("")
+    origin = F.concat(b["scheme"], F.lit("://"), b["host"], port)
+    return (
+        F.when(ref.rlike(_ABSOLUTE), ref)
+        .when(ref.startswith("//"), F.concat(b["scheme"], F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(origin, ref))
+        .when(ref.startswith("?"), F.concat(origin, b["path"], ref))
+        .when(ref.startswith("#") | (ref == ""), F.concat(origin, b["path"], b["query"], ref))
+        .otherwise(F.concat(origin, b["folder"], ref))
     )
-    return df.withColumn(
-        out, F.when(s.isNotNull(), s.withField("url", url))
-    ).drop("__ref", "__full", "__parts", "__safe")
 
 
 def _is_tracking(pair: Column) -> Column:
@@ -154,16 +159,19 @@ def query_value(address: Column, name: str) -> Column:
 
 def comparable(value: Column) -> Column:
     """Form in which two addresses are compared: http(s), no fragment, no trailing slash."""
-    text = F.regexp_replace(value, r"^\s+|\s+$", "")
     pattern = r"(?i)^(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
-    path = F.regexp_replace(F.regexp_extract(text, pattern, 3), "/+$", "")
-    return F.when(
-        text.rlike(pattern),
-        F.concat(
-            F.lower(F.regexp_extract(text, pattern, 1)),
-            F.lit("://"),
-            F.lower(F.regexp_extract(text, pattern, 2)),
-            F.when(path == "", "/").otherwise(path),
-            F.regexp_extract(text, pattern, 4),
-        ),
-    )
+
+    def form(text: Column) -> Column:
+        path = F.regexp_replace(F.regexp_extract(text, pattern, 3), "/+$", "")
+        return F.when(
+            text.rlike(pattern),
+            F.concat(
+                F.lower(F.regexp_extract(text, pattern, 1)),
+                F.lit("://"),
+                F.lower(F.regexp_extract(text, pattern, 2)),
+                F.when(path == "", "/").otherwise(path),
+                F.regexp_extract(text, pattern, 4),
+            ),
+        )
+
+    return bind(F.regexp_replace(value, r"^\s+|\s+$", ""), form)

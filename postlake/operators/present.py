@@ -8,25 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import rules
+from postlake.functions.once import bind
 from postlake.functions.text import strip
 from postlake.functions.urls import comparable
 
 
 def language_code(value: Column) -> Column:
-    text = F.lower(strip(F.coalesce(value, F.lit(""))))
-    out = F.substring(text, 1, 12)
-    for code, label in rules.LANGUAGES:
-        out = F.when(text == label.lower(), code).otherwise(out)
-    known = text.isin(*[code for code, _ in rules.LANGUAGES])
-    return F.when(text == "", "unknown").when(known, text).otherwise(out)
+    def code_of(text: Column) -> Column:
+        out = F.when(text == "", "unknown")
+        for code, label in rules.LANGUAGES:
+            out = out.when(text.isin(code, label.lower()), code)
+        return out.otherwise(F.substring(text, 1, 12))
+
+    return bind(F.lower(strip(F.coalesce(value, F.lit("")))), code_of)
 
 
 def language_label(value: Column) -> Column:
-    code = language_code(value)
-    out = F.upper(code)
-    for known, label in rules.LANGUAGES:
-        out = F.when(code == known, label).otherwise(out)
-    return out
+    def label_of(code: Column) -> Column:
+        out = F.upper(code)
+        for known, label in rules.LANGUAGES:
+            out = F.when(code == known, label).otherwise(out)
+        return out
+
+    return bind(language_code(value), label_of)
 
 
 def display_date(value: Column) -> Column:
@@ -34,8 +38,10 @@ def display_date(value: Column) -> Column:
 
 
 def direct_application(apply_url: Column, source_url: Column) -> Column:
-    apply, source = comparable(apply_url), comparable(source_url)
-    return apply.isNotNull() & F.coalesce(apply != source, F.lit(True))
+    return bind(
+        F.struct(comparable(apply_url).alias("a"), comparable(source_url).alias("s")),
+        lambda u: u["a"].isNotNull() & F.coalesce(u["a"] != u["s"], F.lit(True)),
+    )
 
 
 def source_counts(observations: DataFrame) -> DataFrame:

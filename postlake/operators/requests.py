@@ -188,9 +188,7 @@ def recover_stale(
         "collection_run_id",
         F.coalesce("collection_run_id", F.concat(F.lit("recovery-"), F.substring(F.sha2("id", 256), 1, 32))),
     )
-    order = Window.orderBy("ord")
-    named = sources.where("enabled").select("source_key", F.col("priority").alias("p")).withColumn("ord", F.struct("p", "source_key"))
-    listed = named.withColumn("index", F.row_number().over(order)).select("index", "source_key")
+    listed = sources.where("enabled").select(F.col("position").alias("index"), "source_key")
     expected = stale.where(F.col("expected_sources") > 0).select(
         "collection_run_id", F.explode(F.sequence(F.lit(1), F.col("expected_sources"))).alias("index")
     )

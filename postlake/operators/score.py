@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.functions.once import bind, with_once
 from postlake.functions.text import nfkd, words
 from postlake.operators.present import direct_application, language_code
 
@@ -73,7 +74,10 @@ def duration_months(duration: Column) -> Column:
     The text is reduced to words first, so ``1.5 years`` reads as ``1 5 years``, that is 60
     months. Kept as it is: scores must stay comparable.
     """
-    text = words(duration)
+    return bind(words(duration), _months)
+
+
+def _months(text: Column) -> Column:
     years = F.regexp_extract(text, r"(\d{1,6})\s*years?", 1)
     months = F.regexp_extract(text, r"(\d{1,6})\s*months?", 1)
     return F.when(years != "", years.try_cast("int") * 12).when(months != "", months.try_cast("int"))
@@ -112,7 +116,7 @@ def _criteria(as_of: dt.date) -> Column:
             ),
         )
 
-    found = F.filter("tokens", lambda t: F.col("searchable").contains(t))
+    found = F.col("found")
     research = F.floor(F.lit(40) * F.size(found) / F.size("tokens") + 0.5)
     countries, languages = F.size("country_list") > 0, F.size("language_list") > 0
     country_max = F.when(countries & languages, 12).when(countries, 20).otherwise(0)
@@ -179,7 +183,10 @@ def _criteria(as_of: dt.date) -> Column:
 
 
 def _scored(rows: DataFrame, as_of: dt.date) -> DataFrame:
-    rows = rows.where(F.col("has_preferences")).withColumn("criteria", _criteria(as_of))
+    rows = with_once(
+        rows, "found", F.filter("tokens", lambda t: F.col("searchable").contains(t))
+    )
+    rows = with_once(rows.where(F.col("has_preferences")), "criteria", _criteria(as_of))
     total = F.aggregate("criteria", F.lit(0), lambda acc, c: acc + c["points"])
     return rows.select(
         "profile_id",

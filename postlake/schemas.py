@@ -45,7 +45,8 @@ SOURCE = """source_key string, name string, type string, priority long,
        default_country string, default_city string, hosts array<string>, listing_url string,
        listing_path string, detail_patterns array<string>, paging_parameters array<string>,
        item_pattern string, closed_signals array<string>, max_details int,
-       default_language string, default_language_code string, enabled boolean"""
+       default_language string, default_language_code string, enabled boolean,
+       position int"""
 
 
 def sources_table(spark: SparkSession, sources=rules.SOURCES) -> DataFrame:
@@ -55,6 +56,7 @@ def sources_table(spark: SparkSession, sources=rules.SOURCES) -> DataFrame:
             list(value) if isinstance(value, tuple) else value
             for value in (asdict(source)[f.name] for f in fields(source))
         )
-        for source in sources
+        + (position,)
+        for position, source in enumerate(sources, 1)
     ]
     return spark.createDataFrame(rows, SOURCE)
