@@ -79,7 +79,7 @@ def normalize_postings(entries: DataFrame, sources: DataFrame, as_of: dt.datetim
     rows = rows.withColumns(
         {
             "clean_title": facts.clean_title(F.col("title")),
-            "text": html_text(F.col("description_html"), 20_000),
+            "text": html_text(F.col("description_html"), None),
             "item_id": item_identity(F.col("page_url")),
         }
     ).withColumn("all_text", F.concat("clean_title", F.lit(". "), F.col("text")))

@@ -76,6 +76,18 @@ def public_view(jobs: DataFrame, sources: DataFrame, observations: DataFrame | N
     )
 
 
+def page_view(page: DataFrame, sources: DataFrame, observations: DataFrame) -> DataFrame:
+    """Public columns of one result page.
+
+    A page has at most a hundred rows, so its ids are broadcast and observations are filtered
+    by them where they are read; only those few are counted. The page itself is computed once:
+    both uses read the same exchange.
+    """
+    page = page.repartition(1)
+    ids = F.broadcast(page.select(F.col("id").alias("job_id")))
+    return public_view(page, sources, observations.join(ids, "job_id", "left_semi"))
+
+
 def presentation_flags(jobs: DataFrame, as_of: dt.date) -> DataFrame:
     """Add labels and flags a result card shows."""
     day = F.lit(as_of)

@@ -82,7 +82,7 @@ def api_details(details: DataFrame, listings: DataFrame, sources: DataFrame) ->
     url = F.when(approved(F.col("link"), F.col("source.hosts")), F.col("link.url"))
     item = strip(F.coalesce("p.jobReqId", "listing.source_item_id", "path"))
     rows = rows.withColumn(
-        "text", F.lower(html_text(F.coalesce("p.jobDescription", F.lit("")), 20_000))
+        "text", F.lower(html_text(F.coalesce("p.jobDescription", F.lit("")), None))
     )
     by_text = F.exists("source.closed_signals", lambda s: F.col("text").contains(F.lower(s)))
     return rows.select(
