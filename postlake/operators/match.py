@@ -114,8 +114,8 @@ def match_step(incoming: DataFrame, jobs: DataFrame, observations: DataFrame, *s
     out. Only stored keys that the batch looks for are aggregated.
     """
     wanted = (
-        incoming.select("batch_seq", F.explode(search_keys()).alias("s"))
-        .select("batch_seq", "s.*")
+        incoming.select("batch_seq", F.explode(search_keys()).alias("wanted_key"))
+        .select("batch_seq", "wanted_key.*")
         .where(F.col("step").isin(*steps))
     )
     best = (
@@ -166,7 +166,7 @@ def batch_leaders(incoming: DataFrame) -> DataFrame:
         .groupBy("key")
         .agg(F.min("batch_seq").alias("leader"))
     )
-    wanted = incoming.select("batch_seq", F.explode(search_keys()).alias("s")).select("batch_seq", "s.*")
+    wanted = incoming.select("batch_seq", F.explode(search_keys()).alias("wanted_key")).select("batch_seq", "wanted_key.*")
     return (
         wanted.join(first, "key")
         .where(F.col("leader") < F.col("batch_seq"))

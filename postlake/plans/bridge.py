@@ -113,7 +113,7 @@ VIEWS: dict[str, str] = {
         FROM {postings} WHERE origin_type = 'collected' AND o_orderkey % 8 = 2""",
     # Deliveries of one feed item per order, one per order line.
     "deliveries": """
-        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS batch_seq,
+        SELECT (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000) * 100 + CAST(l_quantity AS INT) AS batch_seq,
                concat('item-', CAST(l_orderkey AS STRING)) AS source_item_id,
                concat('Postdoc line ', l_returnflag) AS title, l_linestatus AS city, l_orderkey
         FROM {lineitem}""",

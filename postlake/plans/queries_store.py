@@ -7,6 +7,7 @@ from postlake.operators import match, merge
 from postlake.operators.accounting import batch_metrics
 from postlake.operators.normalize import content_fingerprint
 from postlake.plans.queries import AS_OF_TS, register, view
+from postlake.session import cut
 from postlake.sources.tables import backfill_language, backfill_observations, copy_runs
 
 _JOB_COLUMNS = [c.split()[0] for c in schemas.JOB.replace("\n", " ").split(",")]
@@ -96,7 +97,7 @@ STORED = f"""{hits(range(9))},
 
 
 def _stored(spark, d):
-    jobs = _jobs(spark, d)
+    jobs = cut(_jobs(spark, d), "jobs")
     return merge.upsert_postings(jobs, _known(spark, d, jobs), _incoming(spark, d), view(spark, d, "source_dim"))
 
 

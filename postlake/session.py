@@ -48,7 +48,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and read it back, so later jobs do not recompute it."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Later jobs start from the files, also after executors are lost, and their plans know the
+    size of what they read.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
