@@ -130,7 +130,7 @@ VIEWS: dict[str, str] = {
     "stored_requests": """
         SELECT concat('stored-', CAST(event_id AS STRING)) AS id,
                concat('view', '/', CAST(CAST(floor(value / 20) AS INT) AS STRING)) AS query_hash,
-               CASE CAST(value AS INT) % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'success' WHEN 2 THEN 'no_results' ELSE 'failed' END AS status,
+               CASE CAST(floor(value) AS INT) % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'success' WHEN 2 THEN 'no_results' ELSE 'failed' END AS status,
                CAST(ts AS TIMESTAMP) AS requested_at,
                CAST(ts AS TIMESTAMP) + INTERVAL 12 HOURS AS cache_expires_at
         FROM {events} WHERE event_type = 'purchase'""",
@@ -161,7 +161,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN value > 20 THEN props ELSE NULL END AS etag,
                CASE WHEN value < 1 THEN 'ROBOTS_DISALLOWED' WHEN value < 20 THEN 'SOURCE_TOO_LARGE' ELSE 'SOURCE_TIMEOUT' END AS code,
                CASE WHEN value > 60 THEN TRUE ELSE NULL END AS retryable,
-               CAST(value AS INT) % 6 AS attempts,
+               CAST(floor(value) AS INT) % 6 AS attempts,
                CASE WHEN event_type = 'error' THEN 'Invalid configuration' ELSE 'Timed out' END AS message
         FROM {events}""",
     # One preference profile per customer; what it is shown are its own orders.
@@ -219,6 +219,8 @@ def with_views(sql: str, *names: str) -> str:
         for n in need
     )
     text = sql.strip()
+    if not need:
+        return text
     if text.upper().startswith("WITH "):
         return f"WITH {ctes}, {text[5:]}"
     return f"WITH {ctes} {text}"
