@@ -179,7 +179,7 @@ VIEWS: dict[str, str] = {
     # Adds to a comparison: every order line of a customer, in order of lines.
     "selection_events": """
         SELECT CAST(o_custkey AS STRING) AS profile_id,
-               l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS seq,
+               (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000) * 100 + CAST(l_quantity AS INT) AS seq,
                CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE lpad(CAST(l_partkey % 40 AS STRING), 12, '0') END AS job_id
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     # Documents as entries: the first line is the title.
