@@ -67,8 +67,9 @@ def _match(*names):
     def put(name, fn, steps):
         @register(name, *V, oracle=f"WITH {hits(steps)} SELECT batch_seq, job_id, CAST(step AS INT) AS step FROM best")
         def run(spark, d):
-            jobs = _jobs(spark, d)
-            return fn(match.with_application(_incoming(spark, d)), jobs, _known(spark, d, jobs))
+            jobs = cut(_jobs(spark, d), "jobs")
+            batch = cut(match.with_application(_incoming(spark, d)), "batch")
+            return fn(batch, jobs, _known(spark, d, jobs))
 
     for entry in names:
         put(*entry)
