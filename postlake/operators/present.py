@@ -11,6 +11,7 @@ from postlake import rules
 from postlake.functions.once import bind
 from postlake.functions.text import strip
 from postlake.functions.urls import comparable
+from postlake.session import cut
 
 
 def language_code(value: Column) -> Column:
@@ -80,10 +81,10 @@ def page_view(page: DataFrame, sources: DataFrame, observations: DataFrame) -> D
     """Public columns of one result page.
 
     A page has at most a hundred rows, so its ids are broadcast and observations are filtered
-    by them where they are read; only those few are counted. The page itself is computed once:
-    both uses read the same exchange.
+    by them where they are read; only those few are counted. The page is written down first,
+    so that postings are scanned once for its two uses.
     """
-    page = page.repartition(1)
+    page = cut(page, "page")
     ids = F.broadcast(page.select(F.col("id").alias("job_id")))
     return public_view(page, sources, observations.join(ids, "job_id", "left_semi"))
 
