@@ -8,6 +8,9 @@ size of the template), a template and a block that reach the threshold share a w
 (length filter); and from the places of the shared word at least a words must still be possible
 (positional filter). What passes is verified on the sets, so the join is exact.
 
+Where two templates are found in one block and one has all words of the other and more, the smaller
+one gives way.
+
 Base: the places where the words of a phrase stand consecutively.
 
 Cases: a NULL text is an empty one; a text without words has no places, labels or score; a NULL
@@ -91,8 +94,10 @@ def blocks_of(docs: DataFrame, prefixes: set[str]) -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(key, block, label, score) for each block and template that reach the threshold.
+def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
+    """(key, block, template, label, within, score) for each block and template that reach the threshold.
+
+    ``within`` lists the templates that have all words of this one and more.
 
     ``docs`` has (key, text); equal keys must mean equal texts. Templates are a constant of a few
     hundred words, so their side of the join is broadcast.
@@ -103,12 +108,12 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> Dat
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     ordered = ordered_templates(templates, order, threshold)
     prefix = [
-        (w, n, t.label, list(t.words), len(t.words), t.least, at)
+        (w, n, t.label, list(t.words), len(t.words), t.least, at, [k for k, o in enumerate(ordered) if set(o.words) > set(t.words)])
         for n, t in enumerate(ordered)
         for at, w in enumerate(t.words[: len(t.words) - t.least + 1])
     ]
     table = spark.createDataFrame(
-        prefix, "word string, template int, label string, words array<string>, size int, least int, at int"
+        prefix, "word string, template int, label string, words array<string>, size int, least int, at int, within array<int>"
     )
     known = F.create_map(*[x for n, w in enumerate(order) for x in (F.lit(w), F.lit(n))])
     shortest = min(t.least for t in ordered)
@@ -136,13 +141,12 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> Dat
     return (
         pairs.withColumn("shared", shared)
         .where(F.col("shared") >= F.col("least"))
-        .groupBy("key", "block", "template", "label")
+        .groupBy("key", "block", "template", "label", "within")
         .agg(F.max(F.col("shared") / F.col("size")).alias("score"))
-        .drop("template")
     )
 
 
-def find_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def find_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """For each row its words, the places of the base phrases and the labels of both searches.
 
     (doc_id, n_words, places array of (at, label), base_labels, labels, score). The score is the
@@ -150,7 +154,11 @@ def find_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
     """
     base = docs.select("doc_id", whole("text").alias("text")).withColumn("key", F.md5("text"))
     found = matches(base.select("key", "text"), templates, threshold)
-    found = found.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    found = found.groupBy("key", "block").agg(  # no more than there are templates
+        F.collect_set("template").alias("all"), F.collect_set(F.struct("within", "label", "score")).alias("each")
+    )
+    found = found.select("key", F.explode(F.filter("each", lambda x: ~F.arrays_overlap(x["within"], "all"))).alias("one"))
+    found = found.groupBy("key").agg(F.collect_set("one.label").alias("found"), F.max("one.score").alias("best"))
     folded = F.lower("text")
     counted = base.select(
         "doc_id",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import licenses, mixing, secrets, sharding
+from postlake.llm import licenses, mixing, neardup, secrets, sharding
 from postlake.llm.common import load
 from postlake.llm.oracles import ORACLES
 
@@ -17,6 +17,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents")))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find_licenses(load(spark, sf_dir, "documents")))
 
@@ -32,6 +36,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     "op1_secrets": op1_secrets,
+    "op2_near_duplicates": op2_near_duplicates,
     "op6_licenses": op6_licenses,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
