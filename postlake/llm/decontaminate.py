@@ -225,11 +225,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE) -
 def clean(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item of the benchmark is found."""
     for block in blocks(benchmark, at_once):
+        docs = docs.where(~_leaking(block)(whole("text")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def leaking(text: pd.Series, block=block) -> pd.Series:
-            index = _index_of(block)
-            return text.map(lambda t: bool(index.matches(t)))
 
-        docs = docs.where(~leaking(whole("text")))
-    return docs
+def _leaking(block: _Block):
+    @F.pandas_udf("boolean")
+    def leaking(text: pd.Series) -> pd.Series:
+        index = _index_of(block)
+        return text.map(lambda t: bool(index.matches(t)))
+
+    return leaking

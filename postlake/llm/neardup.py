@@ -242,3 +242,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are kept: one for each group.
+
+    Of rows that repeat the kept doc_id one stays, the one with the least text digest and place in
+    the table. Rows with a NULL doc_id all stay.
+    """
+    found = near_duplicates(docs, width, percent)
+    gone = bounded(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
+    repeated = bounded(repeated.select(F.col("doc_id").alias("repeated_id")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), "doc_id").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rows = rows.join(repeated, F.col("doc_id") == F.col("repeated_id"), "left")
+    single = rows.where("repeated_id is null").select("row.*")
+    several = rows.where("repeated_id is not null").groupBy("doc_id").agg(F.min_by("row", F.md5(F.coalesce("row.text", F.lit("")))).alias("row"))
+    return single.union(several.select("row.*"))

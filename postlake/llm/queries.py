@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import licenses, mixing, neardup, secrets, sharding
+from postlake.llm import decontaminate, html_text, licenses, mixing, neardup, quality, secrets, sharding, vptree, warc
 from postlake.llm.common import load
 from postlake.llm.oracles import ORACLES
 
@@ -21,6 +21,19 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in each document; documents without any are not listed."""
+    return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(load(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find_licenses(load(spark, sf_dir, "documents")))
 
@@ -34,11 +47,24 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.assign(load(spark, sf_dir, "documents"), sharding.tree()))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(load(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_secrets": op1_secrets,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_decontamination": op3_decontamination,
+    "op4_neighbours": op4_neighbours,
+    "op5_quality": op5_quality,
     "op6_licenses": op6_licenses,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op9_html_text": op9_html_text,
+    "op10_warc": op10_warc,
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -98,18 +98,12 @@ class VantagePointTree:
                     offer(active, content)
                 continue
             away = offer(active, np.array([center]))[:, 0]
-            (_, in_high, inner), (out_low, _, outer) = content
-            near_in = away <= (in_high + out_low) / 2
-            # the last one put is worked off first: the nearer half of each query before the other
-            for side in (True, False):
-                for low, high, child in content:
-                    chosen = near_in == ((child == inner) == side)
-                    chosen = ~chosen if side else chosen
-                    del low, high
-                    lo, hi = next((a, b) for a, b, c in content if c == child)
+            inside = away <= (content[0][1] + content[1][0]) / 2
+            for nearer in (False, True):  # put last, the nearer half of each query is worked off first
+                for (low, high, child), own in zip(content, (inside, ~inside), strict=True):
+                    chosen = own if nearer else ~own
                     d = away[chosen]
-                    todo.append((child, active[chosen], np.maximum(np.maximum(d - hi, lo - d), 0.0)))
-            del outer
+                    todo.append((child, active[chosen], np.maximum(np.maximum(d - high, low - d), 0.0)))
         return rows
 
 
