@@ -32,7 +32,8 @@ from postlake.llm.common import whole
 TRAIN_ROWS = 6_000
 BUCKETS = 1 << 16
 RANK = 8
-EPOCHS = 6
+#: Passes over the rows, and steps of 64 rows that few rows are at least given.
+EPOCHS, STEPS = 8, 600
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -49,7 +50,7 @@ _RANGES = 16
 STATISTICS = (
     ("words", _COUNT), ("lines", _COUNT), ("words_per_line", _COUNT), ("word_length", _WIDTH), ("distinct", _SHARE),
     ("upper", _SHARE), ("digits", _SHARE), ("punctuation", _SHARE), ("spaces", _SHARE), ("beyond_ascii", _SHARE),
-    ("repeated_lines", _SHARE), ("commonest_word", _SHARE), ("bare_punctuation", _SHARE), ("marked_words", _SHARE), ("recorded_length", _COUNT),
+    ("repeated_lines", _SHARE), ("commonest_word", _SHARE), ("bare_punctuation", _SHARE), ("stuttered", _SHARE), ("marked_words", _SHARE), ("recorded_length", _COUNT),
 )
 SIZE = BUCKETS + _RANGES * len(STATISTICS)
 
@@ -78,7 +79,7 @@ def features(text: str | None, n_chars: int | None, buckets: _Buckets) -> tuple[
     values = (
         n, len(lines), n / max(1, len(lines)), sum(map(len, words)) / max(1, n), len(places) / max(1, n),
         kinds[2], kinds[3], kinds[6], kinds[4] + kinds[5], kinds[7],
-        1 - len(set(lines)) / max(1, len(lines)), counts.max(initial=0) / max(1, n), int((known >> 1 & 1).sum()) / max(1, n), int((known & 1).sum()) / max(1, n), n_chars or 0,
+        1 - len(set(lines)) / max(1, len(lines)), counts.max(initial=0) / max(1, n), int((known >> 1 & 1).sum()) / max(1, n), int((known[1:] == known[:-1]).sum()) / max(1, n), int((known & 1).sum()) / max(1, n), n_chars or 0,
     )
     ranges = [BUCKETS + k * _RANGES + int(np.searchsorted(bounds, v, "right")) for k, ((_, bounds), v) in enumerate(zip(STATISTICS, values, strict=True))]
     weight = np.sqrt(counts / max(1, n))
@@ -108,7 +109,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rank: int = RANK, seed: int = 1) -> Machine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, steps: int = STEPS, rank: int = RANK, seed: int = 1) -> Machine:
     """Log loss by stochastic gradients whose steps shrink with what each place has moved."""
     random = np.random.default_rng(seed)
     machine = Machine(0.0, np.zeros(SIZE), random.normal(0, 0.01, (SIZE, rank)))
@@ -117,7 +118,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     share = np.clip(labels.mean(), 0.01, 0.99)
     machine.bias = float(np.log(share / (1 - share)))
     moved_w, moved_v = np.full(SIZE, 1e-3), np.full((SIZE, rank), 1e-3)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-64 * steps // len(rows)))):
         order = random.permutation(len(rows))
         for k in range(0, len(order), 64):
             chosen = order[k : k + 64]
