@@ -1,7 +1,7 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events. Every block element starts a new line of the
-page; its ratio is the number of its characters over the number of its tags. The ratios, without
+page; its ratio is the number of its characters outside of links over the number of its tags. The ratios, without
 those of lines that stand in menus, headers, footers, sidebars, notices, adverts, forms or comments,
 are smoothed by a Gaussian kernel, and lines above a threshold (a share of the smoothed ratios'
 deviation) form clusters. A cluster that reaches into an article or main element stands for the whole
@@ -54,6 +54,7 @@ class Line:
     content: int
     parts: list[str] = field(default_factory=list)
     tags: int = 1
+    linked: int = 0
 
     @property
     def text(self) -> str:
@@ -116,6 +117,8 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][1]):
             self.lines[-1].parts.append(data)
+            if any(tag == "a" for tag, *_ in self.stack[-4:]):
+                self.lines[-1].linked += len("".join(data.split()))
 
 
 def _set_aside(attrs: list[tuple[str, str | None]]) -> bool:
@@ -154,7 +157,7 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = CUT) -> str
     if not lines:
         return ""
     texts = [x.text for x in lines]
-    ratios = np.array([0.0 if x.outside else len(t) / x.tags for x, t in zip(lines, texts, strict=True)])
+    ratios = np.array([0.0 if x.outside else max(0, len(t) - t.count(" ") - x.linked) / x.tags for x, t in zip(lines, texts, strict=True)])
     level = smoothed(ratios, sigma)
     chosen = (level >= share * level.std()) & (ratios > 0)
     elements = {x.content for x, c in zip(lines, chosen, strict=True) if c and x.content}

@@ -47,7 +47,7 @@ def tree(regions: int = 2, racks: int = 2, shards: int = 4) -> Node:
         "root",
         tuple(
             Node(f"region{r}", tuple(
-                Node(f"region{r}/rack{k}", tuple(Node(f"shard{n}", shard=n) for n, _ in zip(number, range(shards))))
+                Node(f"region{r}/rack{k}", tuple(Node(f"shard{n}", shard=n) for _, n in zip(range(shards), number)))
                 for k in range(racks)
             ))
             for r in range(regions)
