@@ -141,12 +141,19 @@ def _normal_form(form: str):
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility composition; Python is entered only for rows with non-ASCII text."""
-    return F.when(c.rlike(r"[^\x00-\x7f]"), _normal_form("NFKC")(c)).otherwise(c)
+    """Compatibility composition."""
+    return _beyond_ascii("NFKC", c)
 
 
 def nfkd(c: Column) -> Column:
-    return F.when(c.rlike(r"[^\x00-\x7f]"), _normal_form("NFKD")(c)).otherwise(c)
+    """Compatibility decomposition."""
+    return _beyond_ascii("NFKD", c)
+
+
+def _beyond_ascii(form: str, c: Column) -> Column:
+    """A normal form. Every row passes the Python node, but ASCII texts, which are their own
+    normal form, pass it as NULL."""
+    return F.coalesce(_normal_form(form)(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def words(c: Column) -> Column:

@@ -34,7 +34,7 @@ def _encode(c: Column) -> Column:
 
 def _resolve_dots(path: Column) -> Column:
     """Drop ``.`` and apply ``..`` segments."""
-    segments = F.split(F.substring(path, 2, 1_000_000), "/")
+    segments = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
 
     def step(done: Column, segment: Column) -> Column:
         return (
@@ -67,7 +67,7 @@ def with_address(df: DataFrame, value: str, out: str, base: str | None = None) -
     p = lambda name: F.col(f"__p_{name}")
     path = bind(F.when(p("path") == "", "/").otherwise(_encode(p("path"))), _resolve_dots)
     kept = F.filter(
-        F.split(F.substring(p("query"), 2, 1_000_000), "&"), lambda pair: ~_is_tracking(pair)
+        F.split(F.substring(p("query"), F.lit(2), F.length(p("query"))), "&"), lambda pair: ~_is_tracking(pair)
     )
     fields = F.struct(
         p("scheme").alias("scheme"),

@@ -54,9 +54,9 @@ def item_identity(source_url: Column) -> Column:
         F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("pub_date", F.lit(""))), 256
     )
     return F.coalesce(
-        F.substring(filled(F.col("source_item_id")), 1, 500),
-        F.substring(F.nullif(source_url, F.lit("")), 1, 500),
-        F.substring(filled(F.col("guid")), 1, 500),
+        filled(F.col("source_item_id")),
+        F.nullif(source_url, F.lit("")),
+        filled(F.col("guid")),
         fallback,
     )
 
@@ -128,10 +128,10 @@ def normalize_postings(entries: DataFrame, sources: DataFrame, as_of: dt.datetim
     today = F.to_date(now)
     published = iso_date(F.col("pub_date"))
     limit = F.to_date(now + F.expr("INTERVAL 48 HOURS"))
-    short = lambda c, n: F.substring(strip(F.coalesce(c, F.lit(""))), 1, n)
+    stated_text = lambda c: strip(F.coalesce(c, F.lit("")))
     blank = F.lit("")
-    language = F.substring(
-        F.lower(strip(F.coalesce(F.nullif("source_language", blank), "source.default_language_code", F.lit("unknown")))), 1, 20
+    language = F.lower(
+        strip(F.coalesce(F.nullif("source_language", blank), "source.default_language_code", F.lit("unknown")))
     )
     duration = F.coalesce(
         F.nullif(facts.duration_in(F.coalesce("duration", blank)), blank),
@@ -145,7 +145,7 @@ def normalize_postings(entries: DataFrame, sources: DataFrame, as_of: dt.datetim
         F.col("clean_title").alias("title"),
         F.col("employer").alias("institution"),
         F.coalesce(F.nullif(facts.clean_country(F.col("country")), blank), "place.country").alias("country"),
-        F.coalesce(F.nullif(short(F.col("city"), 100), blank), "place.city").alias("city"),
+        F.coalesce(F.nullif(stated_text(F.col("city")), blank), "place.city").alias("city"),
         F.col("area").alias("research_area"),
         F.col("source.default_language").alias("language"),
         language.alias("source_language"),
@@ -156,7 +156,7 @@ def normalize_postings(entries: DataFrame, sources: DataFrame, as_of: dt.datetim
         F.col("page_url").alias("source_url"),
         F.coalesce(iso_date(F.col("deadline")), facts.deadline_in(F.col("all_text"))).alias("deadline"),
         F.when(published <= limit, published).otherwise(today).alias("posted_at"),
-        F.coalesce(F.nullif(short(F.col("employment_type"), 100), blank), F.lit("Postdoctoral position")).alias("employment_type"),
+        F.coalesce(F.nullif(stated_text(F.col("employment_type")), blank), F.lit("Postdoctoral position")).alias("employment_type"),
         duration.alias("duration"),
         facts.tags_of(F.col("categories"), F.col("all_text"), F.col("area")).alias("tags"),
         F.lit(True).alias("is_active"),

@@ -86,7 +86,9 @@ def page_view(page: DataFrame, sources: DataFrame, observations: DataFrame) -> D
     """
     page = cut(page, "page")
     ids = F.broadcast(page.select(F.col("id").alias("job_id")))
-    return public_view(page, sources, observations.join(ids, "job_id", "left_semi"))
+    shown = public_view(page, sources, observations.join(ids, "job_id", "left_semi"))
+    # The joins do not keep the page's order; its few rows are ordered again in one partition.
+    return shown.coalesce(1).sortWithinPartitions(F.desc("posted_at"), F.desc("created_at"), F.desc("id"))
 
 
 def presentation_flags(jobs: DataFrame, as_of: dt.date) -> DataFrame:

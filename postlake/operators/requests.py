@@ -173,18 +173,19 @@ def rate_counts(limited: DataFrame) -> DataFrame:
 
 def recover_stale(
     requests: DataFrame, source_runs: DataFrame, sources: DataFrame, as_of: dt.datetime,
-    batch: int = rules.RECOVERY_BATCH,
+    batch: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(stale requests, their source runs) with missing runs added as failed and open ones failed.
 
-    Takes the oldest ``batch`` open requests older than 45 minutes, as one maintenance pass does.
+    Takes all open requests older than 45 minutes; with ``batch`` only the oldest so many.
     """
     cutoff = F.lit(as_of) - F.expr(f"INTERVAL {rules.ACTIVE_REUSE_MINUTES} MINUTES")
     stale = (
         requests.where(F.col("status").isin("queued", "running") & (F.col("requested_at") < cutoff))
-        .orderBy("requested_at", "id")
-        .limit(batch)
-    ).withColumn(
+    )
+    if batch is not None:
+        stale = stale.orderBy("requested_at", "id").limit(batch)
+    stale = stale.withColumn(
         "collection_run_id",
         F.coalesce("collection_run_id", F.concat(F.lit("recovery-"), F.substring(F.sha2("id", 256), 1, 32))),
     )

@@ -11,9 +11,6 @@ from postlake.functions.once import bind, with_once
 from postlake.functions.text import nfkd, words
 from postlake.operators.present import direct_application, language_code
 
-#: Bounds of the free-text fields of a profile.
-KEYWORD_BOUND, LANGUAGE_BOUND = 300, 200
-
 
 def profile_terms(profiles: DataFrame) -> DataFrame:
     """Add the normalised terms of each profile.
@@ -21,7 +18,7 @@ def profile_terms(profiles: DataFrame) -> DataFrame:
     ``profiles(profile_id, research_keywords, countries, source_languages, deadline,
     minimum_duration_months, require_direct_application, prefer_official_source)``.
     """
-    text = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
     tokens = F.array_distinct(
         F.filter(F.split("__keywords", " "), lambda t: F.length(t) > 1)
     )
@@ -33,12 +30,12 @@ def profile_terms(profiles: DataFrame) -> DataFrame:
     months = F.coalesce(F.col("minimum_duration_months").cast("string"), F.lit(""))
     rows = profiles.withColumns(
         {
-            "__keywords": words(nfkd(text("research_keywords", KEYWORD_BOUND))),
-            "__countries": nfkd(text("countries", KEYWORD_BOUND)),
-            "__languages": nfkd(text("source_languages", LANGUAGE_BOUND)),
+            "__keywords": words(nfkd(text("research_keywords"))),
+            "__countries": nfkd(text("countries")),
+            "__languages": nfkd(text("source_languages")),
             "deadline_wish": F.when(F.col("deadline").isin("open", "30", "60"), F.col("deadline")).otherwise(""),
             "minimum_months": F.when(
-                months.rlike(r"^\d{1,3}$"), F.least(months.try_cast("int"), F.lit(120))
+                months.rlike(r"^\d+$"), months.try_cast("int")
             ),
             "wants_direct": F.coalesce("require_direct_application", F.lit(False)),
             "wants_official": F.coalesce("prefer_official_source", F.lit(False)),
@@ -54,9 +51,9 @@ def profile_terms(profiles: DataFrame) -> DataFrame:
         }
     )
     filled = (
-        (F.trim(text("research_keywords", KEYWORD_BOUND)) != "")
-        | (F.trim(text("countries", KEYWORD_BOUND)) != "")
-        | (F.trim(text("source_languages", LANGUAGE_BOUND)) != "")
+        (F.trim(text("research_keywords")) != "")
+        | (F.trim(text("countries")) != "")
+        | (F.trim(text("source_languages")) != "")
         | (F.col("deadline_wish") != "")
         | F.col("minimum_months").isNotNull()
         | F.col("wants_direct")

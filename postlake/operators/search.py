@@ -16,13 +16,16 @@ _PY_BLANK = re.compile(r"^\s+|\s+$")
 
 
 def normalize_filters(filters: dict | None) -> dict:
-    """Bounded, trimmed filters of one search; an unknown deadline option means any."""
+    """Trimmed filters of one search; an unknown deadline option means any.
+
+    A text longer than its limit is refused: cut, it would match more than was asked for.
+    """
     filters = dict(filters or {})
     filters.setdefault("keyword", filters.get("q"))
-    out = {
-        name: _PY_BLANK.sub("", str(filters.get(name) or ""))[:limit]
-        for name, limit in rules.FILTER_LIMITS.items()
-    }
+    out = {name: _PY_BLANK.sub("", str(filters.get(name) or "")) for name in rules.FILTER_LIMITS}
+    for name, limit in rules.FILTER_LIMITS.items():
+        if len(out[name]) > limit:
+            raise ValueError(f"{name} is longer than {limit} characters")
     deadline = _PY_BLANK.sub("", str(filters.get("deadline") or "")).lower()
     out["deadline"] = deadline if deadline in rules.DEADLINE_OPTIONS else "any"
     return out
@@ -31,7 +34,8 @@ def normalize_filters(filters: dict | None) -> dict:
 def normalize_filter_rows(requests: DataFrame) -> DataFrame:
     """The same for a table of requests, adding ``filter_key`` and ``meaningful``.
 
-    Texts are brought to one normal form and blank width before they are cut.
+    Texts are brought to one normal form and blank width and kept whole; `validate_requests` is
+    what refuses long ones.
     """
     names = list(rules.FILTER_LIMITS)
     have = set(requests.columns)
@@ -39,12 +43,11 @@ def normalize_filter_rows(requests: DataFrame) -> DataFrame:
     if "q" in have:
         raw["keyword"] = F.coalesce(raw["keyword"], F.col("q"))
 
-    def clean(c: Column, limit: int) -> Column:
-        text = F.regexp_replace(nfkc(F.coalesce(c.cast("string"), F.lit(""))), f"{BLANK}+", " ")
-        return F.substring(F.trim(text), 1, limit)
+    def clean(c: Column) -> Column:
+        return F.trim(F.regexp_replace(nfkc(F.coalesce(c.cast("string"), F.lit(""))), f"{BLANK}+", " "))
 
-    rows = requests.withColumns({n: clean(raw[n], rules.FILTER_LIMITS[n]) for n in names})
-    option = F.lower(clean(raw["deadline"], 20))
+    rows = requests.withColumns({n: clean(raw[n]) for n in names})
+    option = F.lower(clean(raw["deadline"]))
     option = F.when(option == "no-deadline", "none").otherwise(option)
     rows = rows.withColumn(
         "deadline", F.when(option.isin(*rules.DEADLINE_OPTIONS), option).otherwise("any")
@@ -152,6 +155,15 @@ def newest_first() -> list[Column]:
     return [F.desc("posted_at"), F.desc("created_at"), F.desc("id")]
 
 
+def checked_range(limit: int, offset: int) -> tuple[int, int]:
+    """The limit and offset of a page; values out of range are refused, not moved."""
+    if not 1 <= limit <= rules.PAGE_LIMIT_MAX:
+        raise ValueError(f"limit must be from 1 to {rules.PAGE_LIMIT_MAX}")
+    if not 0 <= offset <= rules.OFFSET_MAX:
+        raise ValueError(f"offset must be from 0 to {rules.OFFSET_MAX}; page on by key beyond")
+    return limit, offset
+
+
 def search_page(
     jobs: DataFrame, filters: dict, as_of: dt.date, limit: int = rules.PAGE_LIMIT, offset: int = 0
 ) -> DataFrame:
@@ -159,15 +171,15 @@ def search_page(
 
     Bounds on limit and offset keep this a top-k: each task keeps at most offset + limit rows.
     """
-    limit = min(max(limit, 1), rules.PAGE_LIMIT_MAX)
-    offset = min(max(offset, 0), rules.OFFSET_MAX)
+    limit, offset = checked_range(limit, offset)
     return search_filter(jobs, filters, as_of).orderBy(*newest_first()).offset(offset).limit(limit)
 
 
 def search_total(
     jobs: DataFrame, filters: dict, as_of: dt.date, limit: int = rules.PAGE_LIMIT, offset: int = 0
 ) -> DataFrame:
-    """One row: matches in all, rows on this page, whether more follow."""
+    """One row: matches in all, rows on this page, whether more follow; the same range as the page."""
+    limit, offset = checked_range(limit, offset)
     total = F.count("*")
     shown = F.greatest(F.least(total - offset, F.lit(limit)), F.lit(0))
     return search_filter(jobs, filters, as_of).agg(

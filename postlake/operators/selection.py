@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from postlake import rules
 from postlake.functions.text import strip
 
-ID_BOUND = 160
-
-
 def _clean(df: DataFrame, column: str = "job_id") -> DataFrame:
-    return df.withColumn(column, F.substring(strip(F.coalesce(column, F.lit(""))), 1, ID_BOUND))
+    return df.withColumn(column, strip(F.coalesce(column, F.lit(""))))
 
 
 def selected(events: DataFrame, maximum: int = rules.MAX_COMPARED) -> DataFrame:
@@ -64,11 +61,11 @@ def reconcile_selection(selection: DataFrame, jobs: DataFrame) -> DataFrame:
         .groupBy("profile_id", "job_id")
         .agg(F.min("pos").alias("pos"))
     )
-    ids = jobs.select(F.substring(strip(F.col("id")), 1, ID_BOUND).alias("job_id"))
+    ids = jobs.select(strip(F.col("id")).alias("job_id"))
     return distinct.join(ids, "job_id", "left_semi").select("profile_id", "pos", "job_id")
 
 
 def saved_only(jobs: DataFrame, selection: DataFrame) -> DataFrame:
     """Postings that the selection names."""
-    saved = _clean(selection).select(F.col("job_id").alias("id"))
-    return jobs.join(saved, "id", "left_semi")
+    saved = _clean(selection).select("job_id")
+    return jobs.join(saved, strip(F.col("id")) == F.col("job_id"), "left_semi")

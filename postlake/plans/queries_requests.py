@@ -265,7 +265,7 @@ def _retain(spark, d):
 @register(
     "recover_stale", "source_runs",
     oracle=f"""WITH {REQ_SQL}, stale AS (SELECT req.* FROM req JOIN orders o ON concat('r-', CAST(o.o_orderkey AS VARCHAR)) = req.id WHERE status <> 'success'
-        AND o.o_orderdate < TIMESTAMP '2001-06-01' ORDER BY o.o_orderdate, req.id LIMIT 50),
+        AND o.o_orderdate < TIMESTAMP '2001-06-01' ),
       want AS (SELECT run, unnest(generate_series(1, expected)) AS i FROM stale WHERE expected > 0),
       own AS (SELECT r.* FROM source_runs_v r JOIN stale ON stale.run = r.collection_run_id)
       SELECT run AS collection_run_id, concat('source-', i) AS source_key, 'failed' AS status, 'stale-recovery' AS mode_used FROM want

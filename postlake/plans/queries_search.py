@@ -24,7 +24,7 @@ def has(word: str) -> str:
 
 
 PAGE_SQL = """
-WITH page AS (SELECT * FROM postings_v WHERE is_active AND {where}
+WITH page AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC, created_at DESC, id DESC) - 1 - {offset} AS place FROM postings_v WHERE is_active AND {where}
   ORDER BY posted_at DESC, created_at DESC, id DESC LIMIT {limit} OFFSET {offset}),
 counts AS (SELECT job_id, count(*) AS n FROM observations_v WHERE observation_state = 'active' GROUP BY job_id)
 SELECT p.id, p.title, p.institution, p.country, p.city, p.research_area, p.language, p.source_language,
@@ -32,14 +32,16 @@ SELECT p.id, p.title, p.institution, p.country, p.city, p.research_area, p.langu
   strftime(p.last_verified_at, '%Y-%m-%d %H:%M:%S') AS last_verified_at, p.description, p.apply_url, p.source_url,
   CAST(p.deadline AS VARCHAR) AS deadline, CAST(p.posted_at AS VARCHAR) AS posted_at,
   strftime(p.created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(p.updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at,
-  p.employment_type, p.duration, array_to_string(p.tags, '|') AS tags, p.is_demo
+  p.employment_type, p.duration, array_to_string(p.tags, '|') AS tags, p.is_demo, p.place
 FROM page p LEFT JOIN source_dim_v s ON s.source_key = p.source_key LEFT JOIN counts c ON c.job_id = p.id"""
 
 
 def _page(filters, limit, offset=0):
     def run(spark, d):
         page = search.search_page(view(spark, d, "postings"), filters, AS_OF, limit, offset)
-        return present.page_view(page, view(spark, d, "source_dim"), view(spark, d, "observations"))
+        shown = present.page_view(page, view(spark, d, "source_dim"), view(spark, d, "observations"))
+        # a page has one partition, so this numbers its rows as they come
+        return shown.withColumn("place", F.monotonically_increasing_id())
 
     return run
 

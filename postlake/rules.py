@@ -65,7 +65,31 @@ DOMAIN_COUNTRIES = (
     ("ucl.ac.uk", "United Kingdom"),
     ("au.dk", "Denmark"),
 )
-#: Places that imply a city and a country; the Oxford one only at its university.
+#: Places that imply a country and a city: phrase, institution it needs, country, city.
+KNOWN_PLACES = (
+    ("Baltimore, Maryland", None, "United States", "Baltimore"),
+    ("central Oxford", "University of Oxford", "United Kingdom", "Oxford"),
+    ("Aarhus, Denmark", None, "Denmark", "Aarhus"),
+)
+#: Other names of countries, as a stated value (without dots) and inside a text.
+STATED_COUNTRIES = (
+    ("United States", ("USA", "US", "United States", "United States of America")),
+    ("United Kingdom", ("UK", "United Kingdom", "Great Britain")),
+    ("Netherlands", ("The Netherlands", "Netherlands")),
+)
+COUNTRIES_IN_TEXT = (
+    ("United States", ("United States of America", "United States", "USA", "U.S.A.", "U.S.")),
+    ("United Kingdom", ("United Kingdom", "Great Britain", "UK", "U.K.")),
+    ("Netherlands", ("Netherlands",)),
+)
+#: Words before the name of an institution in a text, and how such names begin or end.
+INSTITUTION_CUES = ("at", "from", "with")
+INSTITUTION_STARTS = ("University of",)
+INSTITUTION_ENDS = ("University", "Institute", "Laboratory")
+#: Phrases that end the name of an institution.
+AFTER_INSTITUTION = (
+    "to work", "seeks", "invites", "is looking", "for the", "on the", "within the",
+)
 NO_INSTITUTION = "See original source"
 NO_COUNTRY = "Not specified"
 #: City named in an API location text: city, country.
@@ -79,6 +103,25 @@ API_CITIES = (
     ("Rome", "Italy"),
 )
 
+# --- Fixed values: phrases around dates and terms; [x] may be missing, a|b is either ---------
+DEADLINE_CUES = (
+    "application deadline", "post closing date", "closing date", "application|applications close",
+    "application|applications must be received no later than", "last date for applications",
+    "apply by", "deadline",
+)
+DURATION_CUES = (
+    "duration :", "duration:", "term is", "initially available|offered for",
+    "position|appointment|post|role|positions|appointments|posts|roles is|are [initially] [tentatively] [available|offered] [for]",
+    "fixed-term [postdoc] [position] [is] for", "fixed term [postdoc] [position] [is] for",
+    "tentatively for",
+)
+#: What may stand between a length and the word that says what lasts so long.
+DURATION_QUALIFIERS = ("fixed-term", "fixed term", "postdoc", "postdoctoral", "research associate")
+DURATION_NOUNS = ("appointment", "position", "term", "role")
+NUMBER_WORDS = (("one", 1), ("two", 2), ("three", 3), ("four", 4), ("five", 5))
+#: Names of a feed that stand before a title.
+TITLE_PREFIXES = ("iMechanica Job Channel", "iMechanica")
+
 # --- Fixed values: languages ---------------------------------------------------------------
 LANGUAGES = (
     ("de", "German"),
@@ -148,7 +191,6 @@ ACTIVE_REUSE_MINUTES = 45
 CACHE_HOURS = 12
 REFRESH_COOLDOWN_MINUTES = 60
 VISITOR_HOURLY_LIMIT, GLOBAL_HOURLY_LIMIT = 3, 20
-RECOVERY_BATCH = 50
 
 # --- Fixed values: lifecycle, health, delivery ---------------------------------------------
 STALE_DAYS, EXPIRED_DAYS = 45, 75

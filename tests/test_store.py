@@ -63,7 +63,7 @@ def merged(old, new):
     out["apply_url"] = new["apply_url"] if explicit(new) else old["apply_url"] if explicit(old) else new["apply_url"]
     out["source_type"] = "html" if "html" in (old["source_type"], new["source_type"]) else "rss"
     out["canonical_url"] = new["canonical_url"] or old["canonical_url"]
-    out["tags"] = list(dict.fromkeys([*new["tags"], *old["tags"]]))[:10]
+    out["tags"] = list(dict.fromkeys([*new["tags"], *old["tags"]]))
     return out
 
 
