@@ -111,16 +111,19 @@ def match_step(incoming: DataFrame, jobs: DataFrame, observations: DataFrame, *s
     """First hit among the given steps per incoming row: ``batch_seq, job_id, step``.
 
     Within a step the posting first seen wins, then the smaller id. Rows without a hit are left
-    out. Only stored keys that the batch looks for are aggregated.
+    out. Stored keys are 128-bit digests and are reduced to their best posting in each task before
+    anything is shuffled, so a key that a third of the postings share is a row from each task.
     """
     wanted = (
         incoming.select("batch_seq", F.explode(search_keys()).alias("wanted_key"))
         .select("batch_seq", "wanted_key.*")
         .where(F.col("step").isin(*steps))
     )
+    digest = F.unhex(F.md5("key")).alias("key")
+    wanted = wanted.select("batch_seq", "step", digest)
     best = (
         stored_keys(jobs, observations)
-        .join(wanted.select("key").distinct(), "key", "left_semi")
+        .select(digest, "first_seen_at", "job_id")
         .groupBy("key")
         .agg(F.min(F.struct("first_seen_at", "job_id")).alias("hit"))
     )

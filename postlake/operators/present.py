@@ -56,9 +56,7 @@ def source_counts(observations: DataFrame) -> DataFrame:
 
 def public_view(jobs: DataFrame, sources: DataFrame, observations: DataFrame | None = None) -> DataFrame:
     """Columns shown to the public, with source facts; missing observations count as none."""
-    dim = F.broadcast(
-        sources.select("source_key", F.col("name").alias("registered_name"), "institution_owned")
-    )
+    dim = sources.select("source_key", F.col("name").alias("registered_name"), "institution_owned")
     rows = jobs.join(dim, "source_key", "left")
     if observations is None:
         rows = rows.withColumn("source_count", F.lit(1).cast("long"))

@@ -193,7 +193,7 @@ def recover_stale(
     expected = stale.where(F.col("expected_sources") > 0).select(
         "collection_run_id", F.explode(F.sequence(F.lit(1), F.col("expected_sources"))).alias("index")
     )
-    expected = expected.join(F.broadcast(listed), "index", "left").select(
+    expected = expected.join(listed, "index", "left").select(
         "collection_run_id",
         F.coalesce("source_key", F.concat(F.lit("unavailable-approved-source-"), F.col("index").cast("string"))).alias("source_key"),
     )

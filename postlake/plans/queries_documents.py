@@ -168,9 +168,9 @@ def _robots(spark, d):
       SELECT page_id, CAST(pos AS INT) AS pos, href, text, text AS parent_text, TRUE AS excluded FROM a""",
 )
 def _anchors(spark, d):
-    # The navigation of each page, as a body of its own.
-    nav = view(spark, d, "pages").select("page_id", F.concat(F.lit("<main><nav>"), F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1), F.lit("</nav></main>")).alias("html"))
-    return pages.page_anchors(nav).select("page_id", "pos", "href", "text", "parent_text", "excluded")
+    # The whole html; without the article's own tags the document is one content, menus included.
+    whole = view(spark, d, "pages").select("page_id", F.regexp_replace("html", "</?article>", "").alias("html"))
+    return pages.page_anchors(whole).select("page_id", "pos", "href", "text", "parent_text", "excluded")
 
 
 # --- documents made from the tables ----------------------------------------------------------

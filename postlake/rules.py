@@ -159,6 +159,10 @@ NO_LINK_PATHS = (
     r"(?i)^/$|^/(?:taxonomy|tag|tags|user|users|profile|login|logout|register|search)(?:/|$)"
     r"|^/comment(?:/|$)"
 )
+COMMENT_PATHS = r"(?i)(?:^|[#/])comment(?:-|/|$)"
+APPLY_TEXT = r"apply(?:\s+now|\s+for\s+(?:this\s+)?position)?"
+SUBMIT_TEXT = "submit|recruitment system"
+PDF_CONTEXT = "apply|submit"
 SOCIAL_HOSTS = r"(?i)(?:^|\.)(?:facebook|instagram|linkedin|tiktok|twitter|x)\.com$"
 #: Shared listing page that is never an application link.
 REGISTERED_LISTING = r"(?i)^/taxonomy/term/73/?$"
