@@ -42,7 +42,9 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.5, m
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most_epochs: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix(
+    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most_epochs: float = 2.0, seed: str = "mix", rows_per_range: int = 4_000
+) -> DataFrame:
     """(doc_id, source, key, size, source_size, target, taken): the words that the mix takes of each row.
 
     ``docs`` has doc_id, text and source. Only one row per source passes through the driver.
@@ -61,7 +63,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most_epochs: float
         [(s, sizes[s], wanted[s]) for s in wanted], "of string, source_size long, target double"
     )
     most = max((r["rows"] for r in per_source), default=0)
-    placed = numbered(sized, ["source"], "key", ["doc_id"], {"before": "size"}, most)
+    placed = numbered(sized, ["source"], "key", ["doc_id"], {"before": "size"}, most, rows_per_range)
     placed = placed.join(F.broadcast(table) if len(wanted) <= 100_000 else table, F.col("source").eqNullSafe(F.col("of")))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)

@@ -21,9 +21,8 @@ def test_targets():
     assert mixing.targets({"a": 0, "b": 0}) == {"a": 0, "b": 0}
 
 
-def test_against_one_list(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "numbered", lambda *a: __import__("postlake.llm.common", fromlist=["numbered"]).numbered(*a, rows_per_chunk=20))
-    got = mixing.mix(frame(spark)).collect()
+def test_against_one_list(spark):
+    got = mixing.mix(frame(spark), rows_per_range=20).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in ROWS)
     size = lambda t: len(brute.words(t))
     sizes = defaultdict(int)
