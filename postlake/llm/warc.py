@@ -213,7 +213,8 @@ def read_archives(archives: DataFrame, bodies: bool = True, size: int = CHUNK) -
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema=_ROW)
 
-    return archives.select("path").repartition(F.col("path")).mapInArrow(run, CHUNK_ROW)
+    # a task for each archive: the list is small, and small partitions would be joined together
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(run, CHUNK_ROW)
 
 
 def record_rows(chunks: DataFrame) -> DataFrame:
