@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,21 +72,6 @@ def numbered(
     )
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    MOST = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: Iterable[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(32))
@@ -97,14 +81,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _folded(is_word) -> bytes:
+    """A translation of bytes: A-Z lower-cased, what is no part of a word to blanks."""
+    return bytes(32 if not is_word(c) else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+#: Words are what stands between ASCII white space.
+SPACED = _folded(lambda c: c not in (32, 9, 10, 11, 12, 13))
+#: Words are runs of letters, digits and non-ASCII characters.
+ALPHANUMERIC = _folded(lambda c: c > 127 or chr(c).isalnum())
+
+_PIECE = 1 << 17
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
+
+
+_POWERS = _powers(int(_BASE), _PIECE)
+_INVERSE = _powers(pow(int(_BASE), -1, 2**64), _PIECE)
+
+
+def word_hashes(text: str | None, folding: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text.
+
+    A word's bytes, each as a random number, are the coefficients of a polynomial modulo 2^64. All
+    words of a piece of text come from one running sum, divided by the power at which they start.
+    """
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(folding), np.uint8)
+    inside = np.concatenate([[False], raw != 32, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if len(raw) <= _PIECE:
+        return _hashes(raw, starts, ends, _POWERS, _INVERSE)
+    out, first = [], 0
+    while first < len(starts):  # as many whole words as fit, but one at least
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _PIECE, "right")))
+        begin, end = int(starts[first]), int(ends[last - 1])
+        powers, inverse = _POWERS, _INVERSE
+        if end - begin > _PIECE:
+            powers, inverse = _powers(int(_BASE), end - begin), _INVERSE
+        out.append(_hashes(raw[begin:end], starts[first:last] - begin, ends[first:last] - begin, powers, inverse))
+        first = last
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _hashes(raw, starts, ends, powers, inverse) -> np.ndarray:
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[raw] * powers[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
     """The hash of each run of ``width`` words; of the whole sequence if it is shorter."""
     if len(words) == 0:
         return words
     w = min(width, len(words))
     n = len(words) - w + 1
-    out = np.full(n, w, dtype=np.uint64)
-    for k in range(w):
-        out = (out ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-        out = out ^ (out >> np.uint64(29))
+    out = words[:n] * _BASE + np.uint64(w)
+    for k in range(1, w):
+        out ^= out >> np.uint64(29)
+        out += words[k : k + n]
+        out *= _BASE
     return mix(out)

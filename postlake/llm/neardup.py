@@ -12,11 +12,12 @@ Banding. 47 bands of 7 bins: a pair of similarity 0.8 is missed with a probabili
 0.85 with 1e-8; a pair of similarity 0.2 becomes a candidate with 6e-4.
 
 Verification. Texts with equal words are one class and take part once. In every band bucket the
-members are compared with a pivot, never with each other; each pair is verified once on the whole
-shingle sets. In the buckets whose members are then still in different components, those of
-different components are compared; while that would be more than a few comparisons for each text,
-the buckets are searched with other pivots first. So no link that a bucket holds is lost, and groups
-of copies cost one comparison for each member, bucket and round.
+members are first compared with a pivot, and each pair is verified once on the whole shingle sets; so
+groups of copies become components at one comparison for each member and bucket. Buckets whose
+members are then still in different components are searched in blocks of bounded size: members of
+different components whose signatures agree in ``NEAR`` bins or more (a pair of similarity 0.8 does
+not with a probability of 1e-7; the first bins of the signatures are compared beforehand) are
+verified on their sets inside the block, in the first bucket that they share. Only links leave a block. So no link that a bucket holds is lost to a group's size.
 
 Grouping. Distributed union-find (`components`).
 
@@ -40,26 +41,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import WordHashes, bounded, mix, rolling, whole
+from postlake.llm.common import SPACED, bounded, distinct, mix, rolling, whole, word_hashes
 from postlake.llm.components import components
 from postlake.session import cut
 
 BINS = 331  # prime
 BANDS, ROWS = 47, 7
-#: Most rounds with one pivot for each bucket before what is left is compared.
-ROUNDS = 8
-#: Comparisons for each text that may be left to the last round.
-LEFT = 4
+#: Bins of two signatures that agree where their sets may be near.
+NEAR = 225
+#: The same for the first so many bins, which tell beforehand which members are worth a closer look.
+SKETCH, NEAR_SKETCH = 128, 76
+#: Members of a bucket that are compared in one piece.
+BLOCK = 512
 #: Shingles that are ranked together.
 _AT_ONCE = 60_000
 
 
-def shingles(text: str | None, width: int, hashes: WordHashes) -> tuple[np.ndarray, bytes]:
+def shingles(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
     """The distinct shingle hashes of a text, and a digest of its words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64), b""
-    return np.unique(rolling(hashes.of(words), width)), hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    words = word_hashes(text, SPACED)
+    if len(words) == 0:
+        return words, b""
+    return distinct(rolling(words, width)), hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
 def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -116,13 +119,13 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                both = [shingles(t.as_py(), width, hashes) for t in part.column(1)]
+                both = [shingles(t.as_py(), width) for t in part.column(1)]
                 sets = [s for s, _ in both]
-                keys = band_keys(signatures(sets))
+                ranks = signatures(sets)
+                keys = band_keys(ranks)
                 full = np.array([len(s) > 0 for s in sets])
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
                 bands = pc.if_else(pa.array(full), bands, pa.scalar(None, bands.type))
@@ -132,8 +135,9 @@ def _signed(width: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d or None for _, d in both], pa.binary()),
                         bands,
+                        pa.array([r.tobytes() for r in (mix(ranks) & np.uint64(255)).astype(np.uint8)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "words", "bands"],
+                    names=["doc_id", "n_shingles", "words", "bands", "bins"],
                 )
 
     return run
@@ -141,14 +145,25 @@ def _signed(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                sets = [shingles(t.as_py(), width, hashes)[0] for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set"]
-                )
+                sets = [shingles(t.as_py(), width)[0] for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _shared(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b, x, y in zip(*[batch.column(k) for k in range(4)], strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                if (100 + percent) * shared >= percent * (len(one) + len(two)):
+                    kept.append((a.as_py(), b.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[n] for k in kept], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -156,13 +171,12 @@ def _sets(width: int):
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets have ``percent`` or more of their union in common."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(bounded(ids), "id", "left_semi").mapInArrow(_sets(width), "id long, set array<long>")
+    sets = texts.join(bounded(ids), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary")
     sets = cut(sets, "sets")
     left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-    small, large = F.least(F.size("set_a"), F.size("set_b")), F.greatest(F.size("set_a"), F.size("set_b"))
+    small, large = F.least(F.length("set_a"), F.length("set_b")), F.greatest(F.length("set_a"), F.length("set_b"))
     both = pairs.join(left, "a").join(right, "b").where(100 * small >= percent * large)
-    shared = both.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("sizes"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
-    return shared.where((100 + percent) * F.col("shared") >= percent * F.col("sizes")).select("a", "b")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(_shared(percent), "a long, b long")
 
 
 def _mixed(buckets: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -173,67 +187,118 @@ def _mixed(buckets: DataFrame, grouped: DataFrame) -> DataFrame:
     return named.join(many.select("bucket"), "bucket")
 
 
-def _across(buckets: DataFrame) -> int:
-    """How many pairs of members of different components the buckets hold."""
-    sizes = buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    pairs = sizes.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-    return int(pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0))).collect()[0][0])
-
-
-def _pivot_pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """Each member with its bucket's pivot: the least id, or another one for each later turn."""
-    rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    pivots = buckets.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "id", "component")).alias("pivot"))
-    pairs = buckets.join(pivots, "bucket").where(F.col("component") != F.col("pivot.component"))
-    return pairs.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
-
+def _pivot_pairs(buckets: DataFrame) -> DataFrame:
+    """Each member of a bucket with the least."""
+    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("pivot"))
+    pairs = buckets.join(pivots, "bucket").where("id != pivot")
+    return pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _in_blocks(mixed: DataFrame) -> DataFrame:
+    """Members dealt to blocks: each pair of a bucket's pieces, and each piece with itself, is one block."""
+    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("pieces"))
+    dealt = mixed.join(sizes, "bucket").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    keys = [F.col("bucket"), F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high")]
+    names = [c for c in mixed.columns if c != "bucket"]
+    dealt = dealt.select(*keys, "piece", *names)
+    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows that arrive in the order of their block, block by block."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            at = (row["bucket"], row["low"], row["high"])
+            if at != key:
+                if rows:
+                    yield key, rows
+                key, rows = at, []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _near(key: tuple, rows: list[dict], least: int, first: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different components that agree in ``least`` bins; ``first``: only in the
+    first bucket that they share."""
+    bucket, low, high = key
+    component = np.array([r["component"] for r in rows])
+    piece = np.array([r["piece"] for r in rows])
+    bins = np.frombuffer(b"".join(r["bins"] for r in rows), np.uint8).reshape(len(rows), -1)
+    if first:
+        bands = np.array([r["bands"] for r in rows], np.int64)
+        before = np.cumsum(bands == bucket, axis=1) == 0  # the bands ahead of this bucket's
+    for x in range(len(rows) - 1):
+        rest = slice(x + 1, None)
+        fit = component[rest] != component[x]
+        if low != high:
+            fit &= piece[rest] != piece[x]
+        if not fit.any():
+            continue
+        fit &= (bins[rest] == bins[x]).sum(axis=1) >= least
+        if first:
+            fit &= ~((bands[rest] == bands[x]) & before[x]).any(axis=1)
+        for y in np.flatnonzero(fit).tolist():
+            yield x, x + 1 + y
+
+
+def _near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (bucket, id) rows that have a near one in their bucket."""
+    for key, rows in _blocks(batches):
+        found = {rows[z]["id"] for pair in _near(key, rows, NEAR_SKETCH, first=False) for z in pair}
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["bucket", "id"])
+
+
+def _block_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _blocks(batches):
+            links = []
+            for x, y in _near(key, rows, NEAR, first=True):
+                one, two = (np.frombuffer(rows[z]["shingles"], np.uint64) for z in (x, y))
+                if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
+                    shared = len(np.intersect1d(one, two, assume_unique=True))
+                    if (100 + percent) * shared >= percent * (len(one) + len(two)):
+                        links.append(sorted((rows[x]["id"], rows[y]["id"])))
+            yield pa.RecordBatch.from_arrays([pa.array([k[n] for k in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
-def _all_pairs(buckets: DataFrame) -> DataFrame:
-    """The members of different components with each other."""
-    other = buckets.toDF("bucket", "other_id", "other_component")
-    pairs = buckets.join(other, "bucket").where("component < other_component")
-    return pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
+    return run
 
 
 def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that connect the classes as all links of their band buckets would.
 
-    ``signed`` has (id, bands), one row for each class; ``texts`` has (id, text).
+    ``signed`` has (id, bands, bins), one row for each class; ``texts`` has (id, text).
     """
     buckets = signed.select("id", F.explode("bands").alias("bucket"))
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = cut(buckets.join(many, "bucket").select("bucket", "id", F.col("id").alias("component")), "buckets")
-    most = LEFT * signed.count()
-    found = tried = None
-    for turn in range(ROUNDS + 1):
-        if turn:
-            buckets = cut(_mixed(buckets, components(found)), "mixed")
-        last = turn == ROUNDS or (turn > 0 and _across(buckets) <= most)
-        pairs = _all_pairs(buckets) if last else _pivot_pairs(buckets, turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if not pairs.isEmpty():
-            new = cut(_verified(pairs, texts, width, percent), "links")
-            found = new if found is None else found.union(new)
-            tried = pairs if tried is None else tried.union(pairs)
-        if last or found is None:
-            break
-    return found if found is not None else texts.sparkSession.createDataFrame([], "a long, b long")
+    buckets = cut(buckets.join(many, "bucket").select("bucket", "id", F.lit(None).cast("long").alias("component")), "buckets")
+    stars = cut(_verified(cut(_pivot_pairs(buckets), "pairs"), texts, width, percent), "links")
+    mixed = cut(_mixed(buckets, components(stars)), "mixed")
+    blocks = _in_blocks(mixed.join(signed.select("id", F.substring("bins", 1, SKETCH).alias("bins")), "id"))
+    near = cut(blocks.mapInArrow(_near_members, "bucket long, id long").distinct(), "near")
+    if near.isEmpty():
+        return stars
+    sets = texts.join(bounded(near.select("id").distinct()), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary")
+    sets = cut(sets, "near-sets")
+    rest = mixed.join(near, ["bucket", "id"], "left_semi").join(signed, "id").join(sets, "id")
+    return stars.union(cut(_in_blocks(rest).mapInArrow(_block_links(percent), "a long, b long").distinct(), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
-    signed = texts.mapInArrow(_signed(width), "doc_id long, n_shingles long, words binary, bands array<long>")
+    signed = texts.mapInArrow(_signed(width), "doc_id long, n_shingles long, words binary, bands array<long>, bins binary")
     signed = cut(signed, "signed")
     classes = (
         signed.where("words is not null and doc_id is not null")
         .groupBy("words")
-        .agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
+        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "bins"), "doc_id").alias("print"))
+        .select("words", "id", "print.bands", "print.bins")
     )
     classes = cut(classes, "classes")
-    found = links(classes.select("id", "bands"), texts.select(F.col("doc_id").alias("id"), "text"), width, percent)
+    found = links(classes.select("id", "bands", "bins"), texts.select(F.col("doc_id").alias("id"), "text"), width, percent)
     members = signed.select("doc_id", "words").join(classes.select("words", "id"), "words")
     same = members.where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     grouped = components(found.union(same))
