@@ -24,7 +24,6 @@ first counts; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import WordHashes, mix, rolling, whole
+from postlake.llm.common import ALPHANUMERIC, distinct, mix, rolling, whole, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -43,14 +42,9 @@ RADIUS = 20
 #: Items that one pass over the documents looks for.
 ITEMS_AT_ONCE = 5_000
 _BLOCKS = 8
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FILTER_BITS = 20
 
 
-def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return hashes.of(_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower()))
-
-
 def votes(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each of 64 bits of each shingle hash."""
     bits = np.unpackbits(mix(shingles ^ np.uint64(0x9E6C63D0876A9A35)).view(np.uint8).reshape(-1, 8), axis=1)
@@ -74,12 +68,11 @@ class Index:
     """The items of one block: their shingles, and tables of near block values by window length."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.hashes = WordHashes()
         self.items = []
         by_size: dict[int, list[int]] = {}
         owners: dict[int, set[int]] = {}
         for item_id, text in items:
-            words = word_hashes(text, self.hashes)
+            words = word_hashes(text, ALPHANUMERIC)
             if len(words) == 0:
                 continue
             s = rolling(words, WIDTH)
@@ -109,14 +102,15 @@ class Index:
 
     def matches(self, text: str | None) -> list[tuple[int | None, float, int, int]]:
         """(item_id, similarity, first word, words) of the best window for each item found."""
-        words = word_hashes(text, self.hashes)
+        words = word_hashes(text, ALPHANUMERIC)
         best: dict[int, tuple[float, int]] = {}
         for width in self.widths:
             if len(words) < width:
                 continue
             s = rolling(words, width)
             at = np.flatnonzero(self.filter[(s & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
-            at = at[np.isin(s[at], self.known)]
+            near = np.searchsorted(self.known, s[at])
+            at = at[self.known[np.minimum(near, len(self.known) - 1)] == s[at]]
             places: dict[int, list[int]] = {}
             for p in at.tolist():
                 for n in self.owners[int(s[p])]:
@@ -133,7 +127,7 @@ class Index:
                 self._verify(s, n, 0, best)
             return
         members, prints, tables = self.groups[size]
-        starts = np.unique(np.concatenate([np.array(p) for p in places.values()]))
+        starts = distinct(np.concatenate([np.array(p) for p in places.values()]))
         low = np.maximum(starts - length + 1, 0)
         high = np.minimum(starts, len(s) - length)
         for first, last in _ranges(low, high):

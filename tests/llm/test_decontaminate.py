@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from postlake.llm import decontaminate
@@ -6,8 +7,8 @@ from postlake.llm import decontaminate
 
 def windows(text, item, width=5):
     """The best weighted similarity of all windows of the item's length."""
-    words = decontaminate._WORD.findall((text or "").encode().lower())
-    want = decontaminate._WORD.findall((item or "").encode().lower())
+    words = re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    want = re.findall("[0-9a-z\x80-\U0010ffff]+", (item or "").lower())
     if not words or not want:
         return 0.0
     w = min(width, len(want))
