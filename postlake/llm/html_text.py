@@ -9,6 +9,12 @@ element, so its short first and last lines are kept; without such an element the
 are the content. A page whose lines are all below the threshold (a few short words) falls back on its
 article or main element, if it has one.
 
+A class or id sets an element aside if a whole token is a known name or a known compound. A token
+that only begins with a known name may as well come from a heading (``related-work``): such an
+element is set aside only if more than half of its characters stand in links. Ids of headings and
+anchors, and what headings are called, say where links lead and set nothing aside. Formulas are text;
+their annotations, which browsers do not show, are not.
+
 Cases: NULL or empty html gives an empty text; character references are decoded; unclosed and
 crossing tags end with the element that holds them; text outside of any block is a line of its own;
 a NULL page_id or url is carried along; repeated rows each get their own row; other columns are
@@ -35,7 +41,7 @@ _BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea button".split())
+_SILENT = frozenset("script style noscript template head title iframe object svg annotation annotation-xml canvas audio video select textarea button".split())
 _OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
 _CONTENT = frozenset("article main".split())
 #: Elements that an opening tag of the same kind ends.
@@ -45,13 +51,25 @@ _NAMES = frozenset(
     "banner cookie cookies consent notice notices alert gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended pagination pager "
     "comment comments reply replies respond disqus widget toolbar skip".split()
 )
+_COMPOUNDS = frozenset(
+    "comment-list comments-list comment-area comments-area comment-section comments-section comment-body comment-content comment-text comment-author comment-meta comment-form comment-thread "
+    "comments-title comment-respond comment-reply comment-count share-buttons share-bar share-links share-icons sharing-buttons social-share social-buttons social-links social-icons social-bar "
+    "related-posts related-articles related-stories related-links cookie-notice cookie-banner cookie-consent cookie-bar consent-banner newsletter-signup newsletter-form signup-form subscribe-form login-form "
+    "nav-bar nav-menu nav-links ad-slot ad-container ad-wrapper ad-unit ad-banner site-header site-footer site-nav page-footer sidebar-widget breadcrumb-list promo-box".split()
+)
+_NUMBERED = re.compile(r"(?:comment|reply|ad)-\d+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
+_ROOT = ("", False, False, 0, ())
+
+
 @dataclass
 class Line:
     outside: bool
     content: int
+    doubts: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
     tags: int = 1
     linked: int = 0
@@ -60,23 +78,29 @@ class Line:
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
+    @property
+    def size(self) -> int:
+        return len("".join("".join(self.parts).split()))
+
 
 class _Reader(HTMLParser):
     """Collects the lines of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, outside, number of the content element
+        # tag, silent, outside, number of the content element, numbers of the doubtful elements
+        self.stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []
         self.lines = [Line(False, 0)]
         self.contents = 0
+        self.doubtful = 0
 
     def _break(self) -> None:
-        _, _, outside, content = self.stack[-1] if self.stack else ("", False, False, 0)
+        _, _, outside, content, doubts = self.stack[-1] if self.stack else _ROOT
         last = self.lines[-1]
         if last.parts:
-            self.lines.append(Line(outside, content))
+            self.lines.append(Line(outside, content, doubts))
         else:
-            last.outside, last.content = outside, content
+            last.outside, last.content, last.doubts = outside, content, doubts
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.lines[-1].tags += 1
@@ -92,14 +116,17 @@ class _Reader(HTMLParser):
                 break
             if self.stack[k][0] in _BLOCKS:
                 break
-        _, silent, outside, content = self.stack[-1] if self.stack else ("", False, False, 0)
+        _, silent, outside, content, doubts = self.stack[-1] if self.stack else _ROOT
         if tag in _CONTENT and not outside and content == 0:
             self.contents += 1
-            content = self.contents
+            content, doubts = self.contents, ()
         # names of the page's own content and body say nothing about their role
-        named = tag not in _CONTENT and tag not in ("html", "body") and _set_aside(attrs)
+        named, doubtful = (False, False) if tag in _CONTENT or tag in ("html", "body") else _set_aside(tag, attrs)
+        if doubtful:
+            self.doubtful += 1
+            doubts = (*doubts, self.doubtful)
         heading = outside and content and tag in ("h1", "h2") and self.stack[-1][0] in ("header", "hgroup")
-        self.stack.append((tag, silent or tag in _SILENT, (outside or tag in _OUTSIDE or named) and not heading, content))
+        self.stack.append((tag, silent or tag in _SILENT, (outside or tag in _OUTSIDE or named) and not heading, content, doubts))
         if tag in _BLOCKS:
             self._break()
 
@@ -121,19 +148,23 @@ class _Reader(HTMLParser):
                 self.lines[-1].linked += len("".join(data.split()))
 
 
-def _set_aside(attrs: list[tuple[str, str | None]]) -> bool:
+def _set_aside(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether attributes set an element aside, and whether a name leaves that to its links."""
+    doubtful = False
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "role" and (value or "").lower() in _ROLES:
-            return True
-        if name in ("class", "id") and value:
+            return True, False
+        if name in ("class", "id") and value and not (name == "id" and (tag in _HEADINGS or tag == "a")):
             for token in value.lower().split():
-                if token in _NAMES or token.replace("_", "-").split("-")[0] in _NAMES:
-                    return True
+                token = token.replace("_", "-")
+                if token in _NAMES or token in _COMPOUNDS or _NUMBERED.fullmatch(token):
+                    return True, False
+                doubtful = doubtful or token.split("-")[0] in _NAMES
         if name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
-            return True
-    return False
+            return True, False
+    return False, doubtful and tag not in _HEADINGS and tag != "a"
 
 
 def lines_of(html: str | None) -> list[Line]:
@@ -141,6 +172,15 @@ def lines_of(html: str | None) -> list[Line]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
+    if reader.doubtful:
+        sizes, linked = np.zeros(reader.doubtful + 1, np.int64), np.zeros(reader.doubtful + 1, np.int64)
+        for x in reader.lines:
+            for d in x.doubts:
+                sizes[d] += x.size
+                linked[d] += x.linked
+        menus = 2 * linked > sizes
+        for x in reader.lines:
+            x.outside = x.outside or any(menus[d] for d in x.doubts)
     return [x for x in reader.lines if x.text]
 
 

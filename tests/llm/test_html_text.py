@@ -41,3 +41,17 @@ def test_whole_table(spark):
         blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?(?:h1|p)>|<br>", article)]
         assert r.text == "\n".join(b for b in blocks if b)
         assert r.n_chars == len(r.text)
+
+
+NAMED = f"""<body><article><h1>Title</h1><section id="related-work"><h2 id="navigation-systems">Navigation systems</h2><p class="header-files">{WORDS}</p></section>
+<div id="notice-and-choice"><h3 id="comments">On comments</h3><p>{WORDS}<a href="#1">a link</a></p></div><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>
+<div class="related-stories-box"><p><a href="/1">Another story of ours</a> <a href="/2">And one more</a></p></div><div class="share-buttons">Tell all</div>
+<div class="comment_list"><p>{WORDS * 2}</p></div><div id="comment-17"><p>{WORDS * 2}</p></div><div class="menu">{WORDS}</div></article></body>"""
+
+
+def test_names_made_from_headings_keep_their_text():
+    w = WORDS.strip()
+    want = ["Title", "Navigation systems", w, "On comments", f"{w} a link", "So x=1."]
+    assert html_text.main_text(NAMED).split("\n") == want
+    page = f'<body><h1>Title</h1><section id="related-work"><p>{WORDS * 3}</p></section><p class="header-files">{WORDS * 3}</p></body>'
+    assert html_text.main_text(page).count("Plain words") == 6
