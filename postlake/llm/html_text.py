@@ -16,7 +16,8 @@ anchors, and what headings are called, say where links lead and set nothing asid
 their annotations, which browsers do not show, are not.
 
 Cases: NULL or empty html gives an empty text; character references are decoded; unclosed and
-crossing tags end with the element that holds them; text outside of any block is a line of its own;
+crossing tags end with the element that holds them; a head without an end ends at the first tag or text that cannot
+stand in it; text outside of any block is a line of its own;
 a NULL page_id or url is carried along; repeated rows each get their own row; other columns are
 ignored; an empty table gives no rows.
 """
@@ -43,6 +44,9 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template head title iframe object svg annotation annotation-xml canvas audio video select textarea button".split())
 _OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
+#: What can stand in a head, and what holds other elements there; the end of a head may be left out.
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript template noframes".split())
+_HOLDERS = frozenset("noscript template".split())
 _CONTENT = frozenset("article main".split())
 #: Elements that an opening tag of the same kind ends.
 _ENDS = {k: frozenset(v.split()) for k, v in {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
@@ -62,6 +66,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
+_TITLE_END = re.compile(r"</title\s*>", re.IGNORECASE)
 _ROOT = ("", False, False, 0, ())
 
 
@@ -93,6 +98,27 @@ class _Reader(HTMLParser):
         self.lines = [Line(False, 0)]
         self.contents = 0
         self.doubtful = 0
+        self.at = 0
+
+    def parse_starttag(self, i: int) -> int:
+        self.at = i
+        return super().parse_starttag(i)
+
+    def _head(self) -> int | None:
+        """The place of an open head, or of a title that stands without one."""
+        for k, (tag, *_) in enumerate(self.stack):
+            if tag in ("head", "title"):
+                return k
+            if tag == "svg":
+                return None
+        return None
+
+    def _leave_head(self, tag: str) -> None:
+        """Ends an open head if ``tag`` cannot stand in it."""
+        k = self._head()
+        if k is not None and (tag == "body" or (tag not in _IN_HEAD and not any(t in _HOLDERS for t, *_ in self.stack[k:]))):
+            del self.stack[k:]
+            self._break()
 
     def _break(self) -> None:
         _, _, outside, content, doubts = self.stack[-1] if self.stack else _ROOT
@@ -104,6 +130,7 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.lines[-1].tags += 1
+        self._leave_head(tag)
         if tag in _VOID:
             if tag in _BLOCKS:
                 self._break()
@@ -129,6 +156,8 @@ class _Reader(HTMLParser):
         self.stack.append((tag, silent or tag in _SILENT, (outside or tag in _OUTSIDE or named) and not heading, content, doubts))
         if tag in _BLOCKS:
             self._break()
+        if tag == "title" and self._head() is not None and _TITLE_END.search(self.rawdata, self.at):
+            self.set_cdata_mode(tag)  # tags in it are text
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1].tags += 1
@@ -142,6 +171,8 @@ class _Reader(HTMLParser):
             self._break()
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and not data.isspace():
+            self._leave_head("")
         if not (self.stack and self.stack[-1][1]):
             self.lines[-1].parts.append(data)
             if any(tag == "a" for tag, *_ in self.stack[-4:]):

@@ -55,3 +55,16 @@ def test_names_made_from_headings_keep_their_text():
     assert html_text.main_text(NAMED).split("\n") == want
     page = f'<body><h1>Title</h1><section id="related-work"><p>{WORDS * 3}</p></section><p class="header-files">{WORDS * 3}</p></body>'
     assert html_text.main_text(page).count("Plain words") == 6
+
+
+def test_head_without_an_end():
+    body = f"<h1>Title</h1><p>{WORDS}</p><p>Short.</p>"
+    want = ["Title", WORDS.strip(), "Short."]
+    head = "<!DOCTYPE html><html><head><meta charset=utf-8><link rel=x><style>p{}</style><noscript><p>No script</p></noscript>"
+    for start in (f"{head}<title>T</title><body>", f"{head}<title>T</title>", f"{head}<title>T<body>", f"{head}<title>T", f"{head}<title>A <b> tag</title><base href=x>", f"{head}<title>A <b> tag</title></head>", "<title>T<body>", "<title>T"):
+        for end in ("", "</body></html>"):
+            assert html_text.main_text(f"{start}<article>{body}</article>{end}").split("\n") == want, start
+            assert html_text.main_text(start + body + end).split("\n")[:2] == want[:2], start
+    assert html_text.main_text("<head><title>T</title> plain " + WORDS * 3).startswith("plain Plain")
+    assert html_text.main_text("<head><title>T</title><img src=x>" + WORDS * 3).startswith("Plain")
+    assert html_text.main_text(f"<body><article><p>{WORDS}<svg><title>Icon</title><path/></svg>more</p></article>").split() == f"{WORDS}more".split()
