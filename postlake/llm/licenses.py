@@ -1,6 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line together with the one below it, so a notice that is wrapped once is still whole.
+A block is a line together with the one below it, or a window of words twice as long as the longest
+template, so a notice is whole however it is wrapped, even with a blank line or a marker that is a word
+before each of its words. Windows count where what is found in them runs over three lines or more;
+they start at a template's word, and of those with most of its words the shortest is its place.
 A template is found in a block if the block holds at least ``threshold`` of the template's distinct
 words. Words are ordered by how often they occur in all texts, rare first. With a = ceil(threshold *
 size of the template), a template and a block that reach the threshold share a word among the first
@@ -9,7 +12,7 @@ size of the template), a template and a block that reach the threshold share a w
 (positional filter). What passes is verified on the sets, so the join is exact.
 
 Where two templates are found in one block and one has all words of the other and more, the smaller
-one gives way.
+one gives way; so does one whose place lies inside the place of the larger one.
 
 Base: the places where the words of a phrase stand consecutively.
 
@@ -94,15 +97,17 @@ def blocks_of(docs: DataFrame, prefixes: set[str]) -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
-    """(key, block, template, label, within, score) for each block and template that reach the threshold.
+@dataclass(frozen=True)
+class Prepared:
+    """What both kinds of blocks are joined with: the templates in the order of their words."""
 
-    ``within`` lists the templates that have all words of this one and more.
+    order: list[str]
+    ordered: list[Template]
+    prefixes: set[str]
+    table: DataFrame
 
-    ``docs`` has (key, text); equal keys must mean equal texts. Templates are a constant of a few
-    hundred words, so their side of the join is broadcast.
-    """
-    spark = docs.sparkSession
+
+def prepared(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> Prepared:
     vocabulary = {w for _, text in templates for w in words_of(text)}
     counts = frequencies(docs, vocabulary)
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
@@ -112,13 +117,26 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> Dat
         for n, t in enumerate(ordered)
         for at, w in enumerate(t.words[: len(t.words) - t.least + 1])
     ]
-    table = spark.createDataFrame(
+    table = docs.sparkSession.createDataFrame(
         prefix, "word string, template int, label string, words array<string>, size int, least int, at int, within array<int>"
     )
+    return Prepared(order, ordered, {w for w, *_ in prefix}, table)
+
+
+def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, ready: Prepared | None = None) -> DataFrame:
+    """(key, block, template, label, within, score) for each block and template that reach the threshold.
+
+    ``within`` lists the templates that have all words of this one and more.
+
+    ``docs`` has (key, text); equal keys must mean equal texts. Templates are a constant of a few
+    hundred words, so their side of the join is broadcast.
+    """
+    ready = ready or prepared(docs, templates, threshold)
+    order, ordered, table = ready.order, ready.ordered, ready.table
     known = F.create_map(*[x for n, w in enumerate(order) for x in (F.lit(w), F.lit(n))])
     shortest = min(t.least for t in ordered)
     folded = docs.select("key", F.lower(whole("text")).alias("folded"))
-    blocks = blocks_of(folded, {w for w, *_ in prefix})
+    blocks = blocks_of(folded, ready.prefixes)
     ranked = F.array_sort(
         F.transform(
             F.filter(F.array_distinct(words(F.col("folded"))), lambda w: w.isin(*order)),
@@ -146,6 +164,54 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> Dat
     )
 
 
+def wrapped(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9, ready: Prepared | None = None) -> DataFrame:
+    """(key, template, label, within, score, first, last, start, end) for each place of three lines or
+    more in which a template reaches the threshold: its first and last line and word.
+    """
+    ready = ready or prepared(docs, templates, threshold)
+    reach = 2 * max((len(words_of(text)) for _, text in templates), default=1)
+    either = "|".join(re.escape(w) for w in sorted(ready.prefixes))
+    folded = docs.select("key", F.lower(whole("text")).alias("folded"))
+    near = folded.where(F.col("folded").rlike(f"(?:^|{SEPARATOR})(?:{either})(?:{SEPARATOR}|$)") & F.col("folded").rlike(r"(?s)\n.*\n"))
+    each = F.flatten(
+        F.transform(F.split("folded", "\n"), lambda x, n: F.transform(words(x), lambda w: F.struct(n.alias("line"), w.alias("word"))))
+    )
+    placed = F.transform(each, lambda x, n: F.struct(n.alias("at"), x["line"].alias("line"), x["word"].alias("word")))
+    tokens = with_once(near.select("key", "folded"), "tokens", F.filter(placed, lambda x: x["word"].isin(*ready.order)))
+    around = F.transform(
+        "tokens",
+        lambda x, n: F.when(
+            x["word"].isin(*sorted(ready.prefixes)),
+            F.struct(x["at"].alias("at"), x["word"].alias("word"), F.slice("tokens", F.greatest(n - reach + 2, F.lit(1)), 2 * reach).alias("near")),
+        ),
+    )
+    probe = tokens.select("key", F.explode(F.filter(around, lambda x: x.isNotNull())).alias("one"))
+    probe = probe.select("key", "one.at", "one.word", "one.near").withColumnRenamed("at", "place")
+    pairs = probe.join(F.broadcast(ready.table), "word")
+    own = F.filter("near", lambda x: (F.abs(x["at"] - F.col("place")) < reach) & F.array_contains("words", x["word"]))
+    pairs = with_once(pairs, "own", own)
+    lines = F.transform("own", lambda x: x["line"])
+    pairs = pairs.where(F.size(F.array_distinct(F.transform("own", lambda x: x["word"]))) >= F.col("least"))
+    pairs = pairs.where(F.array_max(lines) - F.array_min(lines) > 1)
+
+    def window(a: Column) -> Column:
+        """The words in reach of ``a``, each where it stands first, as (shared, -length, start, end, lines)."""
+        inside = F.filter("own", lambda x: (x["at"] >= a["at"]) & (x["at"] < a["at"] + reach))
+        held = F.array_distinct(F.transform(inside, lambda x: x["word"]))
+        ends = F.transform(held, lambda w: F.get(F.filter(inside, lambda x: x["word"] == w), F.lit(0)))
+        end = F.array_max(F.transform(ends, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"))))
+        return F.struct(
+            F.size(held).alias("shared"), (a["at"] - end["at"]).alias("short"), a["at"].alias("start"), end["at"].alias("end"), a["line"].alias("first"), end["line"].alias("last")
+        )
+
+    starts = F.filter("own", lambda x: x["at"] <= F.col("place"))
+    best = with_once(pairs, "best", F.array_max(F.transform(starts, window)))
+    best = best.where((F.col("best.shared") >= F.col("least")) & (F.col("best.last") - F.col("best.first") > 1))
+    return best.select(
+        "key", "template", "label", "within", (F.col("best.shared") / F.col("size")).alias("score"), "best.first", "best.last", "best.start", "best.end"
+    ).distinct()
+
+
 def find_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """For each row its words, the places of the base phrases and the labels of both searches.
 
@@ -153,11 +219,28 @@ def find_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9)
     largest share of a template's words found in one block, or 1 where a base phrase stands.
     """
     base = docs.select("doc_id", whole("text").alias("text")).withColumn("key", F.md5("text"))
-    found = matches(base.select("key", "text"), templates, threshold)
+    ready = prepared(base, templates, threshold)
+    found = matches(base.select("key", "text"), templates, threshold, ready)
     found = found.groupBy("key", "block").agg(  # no more than there are templates
-        F.collect_set("template").alias("all"), F.collect_set(F.struct("within", "label", "score")).alias("each")
+        F.collect_set("template").alias("all"), F.collect_set(F.struct("template", "within", "label", "score")).alias("each")
     )
-    found = found.select("key", F.explode(F.filter("each", lambda x: ~F.arrays_overlap(x["within"], "all"))).alias("one"))
+    found = found.select("key", "block", F.explode(F.filter("each", lambda x: ~F.arrays_overlap(x["within"], "all"))).alias("one"))
+    wide = wrapped(base.select("key", "text"), templates, threshold, ready)
+    found = found.select(
+        "key", "one.*", F.col("block").alias("first"), (F.col("block") + 1).alias("last"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("wide")
+    ).unionByName(wide.withColumn("wide", F.lit(True)))
+    larger = {k for t in ready.ordered for k, o in enumerate(ready.ordered) if set(o.words) > set(t.words)}
+    tied = (F.size("within") > 0) | F.col("template").isin(*larger)  # for the others one row for each score is enough
+    found = found.withColumns({c: F.when(tied, F.col(c)) for c in ("first", "last", "start", "end")})
+    found = found.groupBy("key").agg(F.collect_set(F.struct("template", "within", "label", "score", "first", "last", "start", "end", "wide")).alias("each"))
+
+    def inside(x: Column, y: Column) -> Column:
+        lines = (y["first"] <= x["first"]) & (y["last"] >= x["last"])
+        words_ = (y["start"] <= x["start"]) & (y["end"] >= x["end"])
+        return y["wide"] & F.array_contains(x["within"], y["template"]) & F.when(x["wide"], words_).otherwise(lines)
+
+    held = F.filter("each", lambda x: (F.size(x["within"]) == 0) | ~F.exists("each", lambda y: inside(x, y)))
+    found = found.select("key", F.explode(held).alias("one"))
     found = found.groupBy("key").agg(F.collect_set("one.label").alias("found"), F.max("one.score").alias("best"))
     folded = F.lower("text")
     counted = base.select(
