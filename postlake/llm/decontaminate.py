@@ -38,7 +38,7 @@ from postlake.llm.common import ALPHANUMERIC, distinct, mix, rolling, whole, wor
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 20
+RADIUS = 23  # the most that blocks of two bits apart guarantee
 #: Items that one pass over the documents looks for.
 ITEMS_AT_ONCE = 5_000
 _BLOCKS = 8
@@ -127,6 +127,7 @@ class Index:
                 self._verify(s, n, 0, best)
             return
         members, prints, tables = self.groups[size]
+        sharing = np.isin(members, list(places))  # the others have similarity 0
         starts = distinct(np.concatenate([np.array(p) for p in places.values()]))
         low = np.maximum(starts - length + 1, 0)
         high = np.minimum(starts, len(s) - length)
@@ -135,7 +136,8 @@ class Index:
             near = reduce(np.logical_or, [t[bytes_[:, b]] for b, t in enumerate(tables)])
             rows, cols = np.nonzero(near)
             apart = np.bitwise_count(bytes_[rows] ^ prints[cols]).sum(axis=1)
-            for r, c in zip(rows[apart <= RADIUS].tolist(), cols[apart <= RADIUS].tolist(), strict=True):
+            near = (apart <= RADIUS) & sharing[cols]
+            for r, c in zip(rows[near].tolist(), cols[near].tolist(), strict=True):
                 self._verify(s, int(members[c]), first + r, best)
 
     def _verify(self, s: np.ndarray, n: int, start: int, best: dict) -> None:

@@ -63,3 +63,12 @@ def test_empty_tables(spark):
     assert decontaminate.leaks(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert decontaminate.leaks(some, bench).count() == 0
     assert decontaminate.clean(some, bench).count() == 1
+
+
+def test_windows_far_apart():
+    # one word of 49 changed is similarity 0.8; these fingerprints are 21 or 22 bits apart
+    for seed in (4597, 7125, 7977, 14538, 15542):
+        random_ = random.Random(seed)
+        item = [f"w{random_.randrange(10**9)}" for _ in range(49)]
+        text = " ".join([*item[:20], "changed", *item[21:]])
+        assert decontaminate.Index([(1, " ".join(item))]).matches(f"before it {text} and after") == [(1, 0.8, 2, 49)]
