@@ -46,10 +46,19 @@ def same_address_groups(canonical: DataFrame, value: str = "url") -> DataFrame:
     )
 
 
-def approved_links(links: DataFrame, sources: DataFrame, value: str = "url") -> DataFrame:
-    """Add ``kind`` (detail, listing or NULL) and ``reject_reason`` under the link's source."""
+def approved_links(links: DataFrame, sources: DataFrame, value: str = "url", hosts: DataFrame | None = None) -> DataFrame:
+    """Add ``kind`` (detail, listing or NULL) and ``reject_reason`` under the link's source.
+
+    ``hosts(source_key, host)`` names the hosts of sources that have any number of them, in place of
+    the column ``hosts`` of ``sources``.
+    """
     rows = with_source(with_address(links, value, "link"), sources)
     link, source = F.col("link"), F.col("source")
+    if hosts is not None:
+        known = hosts.select(F.col("source_key").alias("__key"), F.col("host").alias("__host")).distinct()
+        same = (F.col("source_key") == F.col("__key")) & (link["host"] == F.col("__host"))
+        own = F.when(F.col("__host").isNotNull(), F.array("__host")).otherwise(F.array().cast("array<string>"))
+        rows = rows.join(known, same, "left").withColumn("source", source.withField("hosts", own)).drop("__key", "__host")
     kind = F.when(listing_allowed(link, source), "listing").when(detail_allowed(link, source), "detail")
     reason = (
         F.when(link.isNull(), "not a web address")

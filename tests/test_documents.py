@@ -251,6 +251,25 @@ def test_links(spark, sources):
     assert [(g.canonical_url, g.forms, g.links) for g in groups] == [("https://imechanica.org/node/5", 2, 2)]
 
 
+def test_hosts_in_rows(spark, sources):
+    rows = [(0, "a", "https://x.org/d/5"), (1, "a", "https://X.org/d/5"), (2, "a", "https://y.org/d/5"), (3, "b", "https://y.org/d/5"), (4, "b", "https://x.org/d/5"),
+            (5, "a", "ftp://x"), (6, "a", "http://x.org/d/5"), (7, "a", "https://x.org/list?page=2"), (8, "c", "https://x.org/d/5"), (9, "a", "https://x.org/e")]
+    df = spark.createDataFrame(rows, "i int, source_key string, url string")
+    dim = spark.createDataFrame([(k, "/list", ["^/d/"]) for k in "abc"], "source_key string, listing_path string, detail_patterns array<string>")
+    hosts = spark.createDataFrame([("a", "x.org"), ("a", "x.org"), ("b", "y.org"), ("a", None)], "source_key string, host string")
+    by_rows = [(r.i, r.kind, r.reject_reason) for r in approved_links(df, dim, hosts=hosts).orderBy("i").collect()]
+    arrays = spark.createDataFrame([("a", ["x.org"]), ("b", ["y.org"]), ("c", [])], "source_key string, hosts array<string>")
+    assert by_rows == [(r.i, r.kind, r.reject_reason) for r in approved_links(df, dim.join(arrays, "source_key")).orderBy("i").collect()]
+    assert [k for _, k, _ in by_rows] == ["detail", "detail", None, "detail", None, None, None, "listing", None, None]
+
+
+def test_query_keeps_no_array_of_hosts(spark):
+    from postlake.plans.queries import load_all
+
+    plan = load_all()["approved_links"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+
+
 def entry(**kw):
     base = dict(source_key=FEED, title="Postdoc in chemistry", description_html="A postdoctoral position.", link="https://www.imechanica.org/node/1",
                 guid="g", source_item_id=None, pub_date="Wed, 01 Jul 2026 10:00:00 GMT", categories=[], institution="", country="", city="",
