@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
-None for the learned scores (5), hash draws and CRC-32 (8) and parser events (9), nor for windows of
-every length over every document (3); tests hold these against plain Python.
+None for the learned scores (5), weighted hash draws (8), parser events (9) and token ids (13), nor for
+windows of every length over every document (3); tests hold these against plain Python.
 """
 
 from __future__ import annotations
@@ -130,6 +130,73 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM q"""
 
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, byte by byte from its table."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    tail = lambda shift: f"128 + ((unicode(c) >> {shift}) & 63)"
+    utf8 = (
+        f"CASE WHEN unicode(c) < 128 THEN [unicode(c)] WHEN unicode(c) < 2048 THEN [192 + (unicode(c) >> 6), {tail(0)}] "
+        f"WHEN unicode(c) < 65536 THEN [224 + (unicode(c) >> 12), {tail(6)}, {tail(0)}] "
+        f"ELSE [240 + (unicode(c) >> 18), {tail(12)}, {tail(6)}, {tail(0)}] END"
+    )
+    raw = f"flatten(list_transform(string_split({text}, ''), lambda c: {utf8}))"
+    step = f"xor(h >> 8, list_extract({table}::BIGINT[], (xor(h, b) & 255) + 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {raw}::BIGINT[]), lambda h, b: {step}), 4294967295::BIGINT)"
+
+
+SPELLING = f"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+o AS (SELECT doc, run, count(*) AS k FROM r GROUP BY ALL),
+h AS (SELECT run, k, {_crc32("concat(doc, ':', run)")} AS h FROM o),
+g AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM g WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+m AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS masked, left(word, i - 1) || substr(word, i + 1) AS shorter FROM i),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM m a JOIN m b ON a.masked = b.masked AND a.word != b.word
+  UNION SELECT m.word, w.word, w.n FROM m JOIN w ON m.shorter = w.word
+  UNION SELECT w.word, m.word, m.n FROM m JOIN w ON m.shorter = w.word),
+b AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM w LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON c.next = f.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM c WHERE next IS NULL) USING (word)"""
+
+
+def resampling() -> str:
+    words = lambda t: f"unnest(regexp_extract_all({_LOWER.format(t)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+x AS (SELECT row, {words("text")} AS word FROM d),
+y AS (SELECT {words("text")} AS word FROM benchmark),
+v AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM x UNION SELECT word FROM y)),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN v USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM y JOIN v USING (word) GROUP BY bucket),
+z AS (SELECT (SELECT count(*) FROM x) AS big_s, (SELECT count(*) FROM y) AS big_t),
+g AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (big_s + 10000))::DOUBLE / ((s + 1) * (big_t + 10000))::DOUBLE))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), z),
+a AS (
+  SELECT row, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM x JOIN v USING (word) JOIN g USING (bucket) GROUP BY row),
+b AS (
+  SELECT row, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    ('0x' || left(sha256(concat('2024:', doc_id)), 8))::BIGINT AS h
+  FROM d LEFT JOIN a USING (row)),
+c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM b),
+e AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS fit FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, rank
+FROM c LEFT JOIN (SELECT row, rank::BIGINT AS rank FROM e WHERE rank <= 10 * fit // 100) USING (row)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_secrets": secrets(),
     "op2_near_duplicates": near_duplicates(),
@@ -137,4 +204,6 @@ ORACLES: dict[str, str] = {
     "op6_licenses": licenses(),
     "op7_mixing": MIXING,
     "op10_warc": ARCHIVES,
+    "op11_spelling_variants": SPELLING,
+    "op12_resampling": resampling(),
 }

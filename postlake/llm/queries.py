@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import decontaminate, html_text, licenses, mixing, neardup, quality, secrets, sharding, vptree, warc
+from postlake.llm import (
+    decontaminate, html_text, licenses, mixing, neardup, packing, quality, resampling, secrets, sharding, spelling, vptree, warc,
+)
 from postlake.llm.common import load
 from postlake.llm.oracles import ORACLES
 
@@ -55,6 +57,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(load(spark, sf_dir, "documents"), garble_every=199))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.drop("key")
+
+
 QUERIES: dict[str, Run] = {
     "op1_secrets": op1_secrets,
     "op2_near_duplicates": op2_near_duplicates,
@@ -66,5 +84,8 @@ QUERIES: dict[str, Run] = {
     "op8_sharding": op8_sharding,
     "op9_html_text": op9_html_text,
     "op10_warc": op10_warc,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_resampling": op12_resampling,
+    "op13_packing": op13_packing,
 }
 __all__ = ["ORACLES", "QUERIES"]
