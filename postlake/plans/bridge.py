@@ -126,6 +126,16 @@ VIEWS: dict[str, str] = {
                concat(event_type, '/', CAST(CAST(floor(value / 20) AS INT) AS STRING)) AS query_hash,
                value
         FROM {events}""",
+    # What each event would search for: keywords of several lengths, some that nothing holds, and all filters.
+    "searches": """
+        SELECT CAST(event_id AS STRING) AS request_id,
+               CASE user_id % 8 WHEN 0 THEN concat(' NATION_', CAST(user_id % 25 AS STRING)) WHEN 1 THEN 'Urgent' WHEN 2 THEN CAST(user_id % 100 AS STRING)
+                    WHEN 3 THEN '","' WHEN 4 THEN concat('no such ', event_type) WHEN 5 THEN 'o' ELSE '' END AS keyword,
+               CASE WHEN event_type IN ('view', 'error') THEN concat('Nation_', CAST(user_id % 25 AS STRING), ' ') ELSE '' END AS country,
+               CASE WHEN event_type = 'click' THEN 'BUILDING' WHEN event_type = 'error' THEN 'machinery' ELSE '' END AS research_area,
+               CASE CAST(floor(value) AS INT) % 3 WHEN 0 THEN 'ENGL' WHEN 1 THEN 'french' ELSE '' END AS language,
+               CASE CAST(floor(value) AS INT) % 7 WHEN 0 THEN '7' WHEN 1 THEN '30' WHEN 2 THEN '60' WHEN 3 THEN 'open' WHEN 4 THEN 'none' ELSE 'other' END AS deadline
+        FROM {events}""",
     # Stored requests: the purchases, with a life of their own.
     "stored_requests": """
         SELECT concat('stored-', CAST(event_id AS STRING)) AS id,

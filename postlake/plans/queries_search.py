@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postlake.operators import lifecycle, present, score, search, selection
+from postlake.operators import lifecycle, present, score, search, search_tables, selection
 from postlake.operators.accounting import sources_per_job, status_counts
 from postlake.plans.queries import AS_OF, AS_OF_TS, register, view
 from postlake.sources import tables
@@ -91,15 +91,33 @@ def _many(spark, d):
     return search.search_many(view(spark, d, "postings"), {k: f for k, (f, _) in MANY.items()}, AS_OF)
 
 
+WORDS = ("title", "institution", "country", "city", "research_area", "language", "description")
+HOLDS = " OR ".join([*(f"contains(lower(coalesce(p.{c}, '')), a.k)" for c in WORDS), "contains(lower(to_json(p.tags)), a.k)"])
+
+
+@register(
+    "search_requests", "postings", "searches",
+    oracle=f"""WITH n AS (SELECT request_id, lower(trim(keyword)) AS k, lower(trim(country)) AS c, lower(trim(research_area)) AS r, lower(trim(language)) AS l, deadline AS d FROM searches_v),
+      a AS (SELECT DISTINCT k, c, r, l, d FROM n), live AS MATERIALIZED (SELECT * FROM postings_v WHERE is_active AND {PUBLIC} AND {NOT_PAST}),
+      f AS (SELECT a.*, count(*) AS matching FROM a JOIN live p ON (a.k = '' OR {HOLDS}) AND (a.c = '' OR lower(trim(p.country)) = a.c)
+        AND (a.r = '' OR lower(trim(p.research_area)) = a.r) AND (a.l = '' OR contains(lower(p.language), a.l))
+        AND CASE a.d WHEN 'open' THEN p.deadline IS NOT NULL WHEN 'none' THEN p.deadline IS NULL WHEN 'other' THEN TRUE ELSE p.deadline BETWEEN {DAY} AND {DAY} + CAST(a.d AS INT) END
+        GROUP BY ALL)
+      SELECT request_id, coalesce(matching, 0) AS matching_jobs FROM n LEFT JOIN f USING (k, c, r, l, d)""",
+)
+def _search_requests(spark, d):
+    return search_tables.search_requests(view(spark, d, "postings"), view(spark, d, "searches"), AS_OF)
+
+
 @register(
     "search_memory", "postings",
     oracle=f"""SELECT research_area, count(*) AS n FROM postings_v
       WHERE {NOT_PAST} AND contains(concat_ws(' ', lower(title), lower(institution), lower(country), lower(city),
-        lower(research_area), lower(description), lower(array_to_string(tags, ' '))), 'nation_1 city')
+        lower(research_area), lower(description), lower(array_to_string(tags, ' '))), 'nation_10 city')
         AND lower(language) = 'english' GROUP BY research_area""",
 )
 def _memory(spark, d):
-    rows = search.search_filter(view(spark, d, "postings"), {"keyword": "Nation_1 City", "language": "English"}, AS_OF, "memory")
+    rows = search.search_filter(view(spark, d, "postings"), {"keyword": "Nation_10 City", "language": "English"}, AS_OF, "memory")
     return rows.groupBy("research_area").agg(F.count("*").alias("n"))
 
 
