@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake import rules
-from postlake.functions.scans import carry_last
+from postlake.functions.scans import carry_last, in_ranges
 from postlake.functions.text import BLANK, nfkc, strip
 from postlake.operators.search import normalize_filter_rows
+from postlake.session import cut
 
 FIELDS = tuple(rules.FILTER_LIMITS)
 
@@ -79,7 +80,7 @@ def request_reuse(incoming: DataFrame, stored: DataFrame, matches: DataFrame | N
 
     A stored request is only made when nothing could be reused, so of one query the newest
     open and the newest answered request are the only candidates. Both are carried forward
-    in time order; a query asked by a third of all requests is scanned by the hour.
+    in time order, by ranges of bounded size, however often one query is asked.
     """
     open_ = F.col("status").isin("queued", "running")
     answered = F.col("status").isin("success", "partial", "no_results")
@@ -96,9 +97,10 @@ def request_reuse(incoming: DataFrame, stored: DataFrame, matches: DataFrame | N
         F.lit(None).cast(old.schema["open_row"].dataType).alias("open_row"),
         F.lit(None).cast(old.schema["answer_row"].dataType).alias("answer_row"),
     )
+    order = ["ts", "side", "event_id"]
+    rows = in_ranges(old.unionByName(new), ["query_hash", *order], "range")
     carried = carry_last(
-        old.unionByName(new), ["query_hash"], ["ts", "side", "event_id"],
-        F.date_trunc("hour", "ts"),
+        rows, ["query_hash"], order, F.col("range"),
         {"last_open": "open_row", "last_answer": "answer_row"},
         include_current=True,
     ).where(F.col("side") == 1)
@@ -122,6 +124,61 @@ def request_reuse(incoming: DataFrame, stored: DataFrame, matches: DataFrame | N
     )
 
 
+def _claimed(open_: DataFrame) -> DataFrame:
+    """The rows of ``open_(query_hash, ts, request_id)``, one for each query and time, that start a request.
+
+    The first of a query does, and after one that does the first that comes more than 45 minutes
+    later. Every row points to the one that would be next after it; pointers double their reach in
+    each round, and what has been found doubles with them.
+    """
+    wait = rules.ACTIVE_REUSE_MINUTES * 60_000_000
+    at = F.unix_micros("ts")
+    found = F.struct("request_id", "ts")
+    back = open_.select("query_hash", (-at).alias("back"), F.lit(1).alias("side"), "request_id", "ts", found.alias("row"))
+    ask = open_.select("query_hash", (-at - wait).alias("back"), F.lit(0).alias("side"), "request_id", "ts", F.lit(None).cast(back.schema["row"].dataType).alias("row"))
+    order = ["back", "side", "request_id"]
+    rows = in_ranges(back.unionByName(ask), ["query_hash", *order], "range")
+    ahead = carry_last(rows, ["query_hash"], order, F.col("range"), {"next": "row"}, include_current=False).where("side = 0")
+    jump = cut(ahead.where("next IS NOT NULL").select("request_id", F.col("next.request_id").alias("to")), "jumps")
+    chosen = cut(open_.groupBy("query_hash").agg(F.min_by("request_id", "ts").alias("request_id")).select("request_id"), "claims")
+    while not jump.isEmpty():
+        chosen = cut(chosen.union(chosen.join(jump, "request_id").select("to")), "claims")
+        further = jump.select(F.col("request_id").alias("to"), F.col("to").alias("further"))
+        jump = cut(jump.join(further, "to").select("request_id", F.col("further").alias("to")), "jumps")
+    return open_.join(chosen.distinct(), "request_id", "left_semi")
+
+
+def answer_requests(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decide requests in time order: (decisions, new requests to store).
+
+    What the store cannot answer starts a new request; later requests of the same query join
+    it for 45 minutes. Equal to deciding one by one, in rounds whose number is the logarithm of how
+    many requests one query starts.
+    """
+    have = ["id", "query_hash", "status", "requested_at", "cache_expires_at"]
+    stored = stored.select(*have)
+    slim = cut(requests.select("request_id", "query_hash", "ts"), "requests")
+    unanswered = request_reuse(slim, stored).where(F.col("decision") == "new")
+    first = unanswered.groupBy("query_hash", "ts").agg(F.min("request_id").alias("request_id"))
+    started = cut(_claimed(cut(first, "unanswered")), "started")
+    claims = started.select(
+        F.col("request_id").alias("id"), "query_hash", F.lit("queued").alias("status"), F.col("ts").alias("requested_at"),
+        (F.col("ts") + F.expr(f"INTERVAL {rules.CACHE_HOURS} HOURS")).alias("cache_expires_at"),
+    )
+    decided = request_reuse(slim, stored.unionByName(claims))
+    own = F.col("reuse_id") == F.col("request_id")
+    decided = decided.withColumns({"decision": F.when(own, "new").otherwise(F.col("decision")), "reuse_id": F.when(~own, F.col("reuse_id"))})
+    return cut(decided, "decisions"), claims
+
+
+def usable(stored: DataFrame, since: dt.datetime) -> DataFrame:
+    """The stored requests that can still answer a request made at ``since`` or later."""
+    now = F.lit(since)
+    open_ = F.col("status").isin("queued", "running") & (F.col("requested_at") >= now - F.expr(f"INTERVAL {rules.ACTIVE_REUSE_MINUTES} MINUTES"))
+    answered = F.col("status").isin("success", "partial", "no_results") & (F.col("cache_expires_at") > now)
+    return stored.where(open_ | answered)
+
+
 def hourly_windows(events: DataFrame, ts: str = "ts") -> DataFrame:
     """Add the hour a row falls in and the whole seconds left of it, one at least."""
     start = F.date_trunc("hour", ts)

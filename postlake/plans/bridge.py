@@ -231,6 +231,8 @@ def with_views(sql: str, *names: str) -> str:
     text = sql.strip()
     if not need:
         return text
+    if text.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {text[15:]}"
     if text.upper().startswith("WITH "):
         return f"WITH {ctes}, {text[5:]}"
     return f"WITH {ctes} {text}"

@@ -41,6 +41,32 @@ def _visitors(spark, d):
     return runs.read_visitor_days(spark, f"{root}/days")
 
 
+def _delivered(spark, root, parts, start):
+    """Put each of ``parts`` into the inbox and let the stream that ``start`` gives run over it: one micro-batch each."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/inbox")
+        start(spark.readStream.schema(part.schema).parquet(f"{root}/inbox")).awaitTermination()
+
+
+DAYS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-03-01")
+
+
+@register(
+    "request_stream", "requests",
+    oracle="""WITH RECURSIVE r AS (SELECT query_hash AS q, ts, min(request_id) AS id FROM requests_v GROUP BY ALL),
+      c AS (SELECT q, min(ts) AS ts FROM r GROUP BY q UNION ALL SELECT c.q, min(r.ts) FROM c JOIN r ON r.q = c.q AND r.ts > c.ts + INTERVAL 45 MINUTES GROUP BY c.q),
+      o AS (SELECT q, ts, id FROM c JOIN r USING (q, ts))
+      SELECT request_id, query_hash, CASE WHEN request_id = o.id THEN 'new' ELSE 'active' END AS decision, CASE WHEN request_id <> o.id THEN o.id END AS reuse_id
+      FROM requests_v v ASOF JOIN o ON v.query_hash = o.q AND v.ts >= o.ts""",
+)
+def _requests(spark, d):
+    root = scratch_path(spark, "requests")
+    rows = view(spark, d, "requests").select("request_id", "query_hash", "ts")
+    thirds = [rows.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(DAYS, DAYS[1:], strict=False)]
+    _delivered(spark, root, thirds, lambda stream: runs.request_stream(stream, f"{root}/kept", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/kept/decisions").select("request_id", "query_hash", "decision", "reuse_id")
+
+
 FEED = "imechanica-job-channel"
 
 

@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake import rules, schemas
+from postlake import schemas
 from postlake.operators.classify import classify_postings, route_closed, validate_postings
 from postlake.operators.lifecycle import close_observations, expire_observations, expire_postings
 from postlake.operators.merge import upsert_postings
 from postlake.operators.normalize import normalize_postings
-from postlake.operators.requests import request_reuse
+from postlake.operators.requests import answer_requests, usable
 from postlake.operators.visitors import merge_visitor_days, visitor_days
 from postlake.session import cut
 from postlake.sources.tables import read_snapshot, snapshots, write_jobs, write_observations, write_snapshot
@@ -110,49 +110,23 @@ def posting_stream(
 # --- requests --------------------------------------------------------------------------------
 
 
-def answer_requests(requests: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decide a batch of requests in time order: (decisions, new requests to store).
+def request_stream(requests: DataFrame, root: str, checkpoint: str, lateness: dt.timedelta = dt.timedelta(days=1)):
+    """Answer a stream of requests ``(request_id, query_hash, ts)`` from the store under ``root``.
 
-    What the store cannot answer starts a new request; later requests of the same query join
-    it while it is under way. Each pass starts at most one request per query, so the number of
-    passes is the time the batch spans in units of 45 minutes, one in a live stream.
+    Each batch writes its decisions and the next state of the store: what it has started, and of the
+    older requests those that can still answer one that comes ``lateness`` after its turn. So the
+    state follows the requests of about a day, not of all time.
     """
-    columns = "request_id", "query_hash", "ts"
-    decided: DataFrame | None = None
-    rest = cut(requests.select(*columns), "requests")
-    claims = stored.limit(0).select("id", "query_hash", "status", "requested_at", "cache_expires_at")
-    while True:
-        answers = cut(request_reuse(rest, stored.select(*claims.columns).unionByName(claims)), "answers")
-        fresh = answers.where(F.col("decision") == "new")
-        first = fresh.groupBy("query_hash").agg(F.min(F.struct("ts", "request_id")).alias("f"))
-        first = cut(first.select("query_hash", "f.ts", "f.request_id"), "claims")
-        known = answers.where(F.col("decision") != "new").unionByName(
-            first.select("request_id", "query_hash", "ts", F.lit("new").alias("decision"), F.lit(None).cast("string").alias("reuse_id"))
-        )
-        decided = known if decided is None else decided.unionByName(known)
-        if first.isEmpty():
-            return decided, claims
-        claims = cut(
-            claims.unionByName(
-                first.select(
-                    F.col("request_id").alias("id"), "query_hash", F.lit("queued").alias("status"), F.col("ts").alias("requested_at"),
-                    (F.col("ts") + F.expr(f"INTERVAL {rules.CACHE_HOURS} HOURS")).alias("cache_expires_at"),
-                )
-            ),
-            "claims",
-        )
-        rest = fresh.select(*columns).join(first.select("request_id"), "request_id", "left_anti")
-
-
-def request_stream(requests: DataFrame, root: str, checkpoint: str):
-    """Answer a stream of requests ``(request_id, query_hash, ts)`` from the store under ``root``."""
     empty = "id string, query_hash string, status string, requested_at timestamp, cache_expires_at timestamp"
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         stored = read_snapshot(spark, f"{root}/stored", empty, number)
+        batch = cut(batch, "request-batch")
         decisions, claims = answer_requests(batch, stored)
+        newest = batch.agg(F.max("ts")).first()[0]
         decisions.write.mode("overwrite").parquet(f"{root}/decisions/batch={number}")
-        write_snapshot(stored.unionByName(claims), f"{root}/stored", number + 1)
+        kept = stored.unionByName(claims)
+        write_snapshot(usable(kept, newest - lateness) if newest else kept, f"{root}/stored", number + 1)
 
     return run_batches(requests, handle, checkpoint)

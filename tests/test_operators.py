@@ -6,12 +6,11 @@ import random
 from pyspark.sql import functions as F
 
 from postlake.operators.accounting import request_status, run_status
-from postlake.operators.requests import rate_limit, recover_stale, validate_requests
+from postlake.operators.requests import answer_requests, rate_limit, recover_stale, usable, validate_requests
 from postlake.operators.score import duration_months, score_for_profile
 from postlake.operators.search import normalize_filters, public_dataset, search_page, search_total
 from postlake.operators.selection import clear_positions, remove_positions, select_positions
 from postlake.sources.tables import read_snapshot, sample_postings, seed_load, snapshots, write_snapshot
-from postlake.streaming.runs import answer_requests
 from postlake.schemas import JOB, REQUEST, SOURCE_RUN
 
 T0 = dt.datetime(2026, 8, 2, 12)
@@ -52,6 +51,29 @@ def test_answers_equal_one_by_one(spark):
     assert {r.id for r in claims.collect()} == {k for k, v in want.items() if v[0] == "new"}
 
 
+def test_answers_of_one_hot_query(spark):
+    rnd = random.Random(3)
+    rows = [(f"{i:05d}", "hot", T0 + dt.timedelta(seconds=rnd.randrange(40 * 86_400 // 60) * 60)) for i in range(3_000)]
+    rows += [(f"x{i:02d}", "same", T0) for i in range(40)]
+    last, want = {}, {}
+    for rid, q, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if q in last and last[q][1] >= ts - dt.timedelta(minutes=45):
+            want[rid] = ("active", last[q][0])
+        else:
+            last[q], want[rid] = (rid, ts), ("new", None)
+    df = spark.createDataFrame(rows, "request_id string, query_hash string, ts timestamp").repartition(5)
+    none = spark.createDataFrame([], "id string, query_hash string, status string, requested_at timestamp, cache_expires_at timestamp")
+    decisions, _ = answer_requests(df, none)
+    assert {r.request_id: (r.decision, r.reuse_id) for r in decisions.collect()} == want
+    assert sum(v[0] == "new" for v in want.values()) > 500
+
+
+def test_what_cannot_answer_any_more_is_dropped(spark):
+    stored = [("a", "q", "queued", T0, None), ("b", "q", "queued", T0 - dt.timedelta(minutes=46), None), ("c", "q", "success", T0, T0), ("d", "q", "partial", T0, T0 + dt.timedelta(seconds=1)), ("e", "q", "failed", T0, None)]
+    st = spark.createDataFrame(stored, "id string, query_hash string, status string, requested_at timestamp, cache_expires_at timestamp")
+    assert sorted(r.id for r in usable(st, T0).collect()) == ["a", "d"]
+
+
 def test_validate_requests(spark):
     cases = {
         '{"keyword":"physics"}': None, '{"keyword":7}': "INVALID_REQUEST", '{"other":"x"}': "INVALID_REQUEST", "[1]": "INVALID_REQUEST", "oops": "INVALID_REQUEST",
