@@ -68,3 +68,65 @@ def test_head_without_an_end():
     assert html_text.main_text("<head><title>T</title> plain " + WORDS * 3).startswith("plain Plain")
     assert html_text.main_text("<head><title>T</title><img src=x>" + WORDS * 3).startswith("Plain")
     assert html_text.main_text(f"<body><article><p>{WORDS}<svg><title>Icon</title><path/></svg>more</p></article>").split() == f"{WORDS}more".split()
+
+
+def test_nothing_is_lost_between_long_paragraphs():
+    long = [f"{WORDS * 4}{n}" for n in range(2)]
+    short = "Yes. No. Three. Four. Five. Six. Seven.".split()
+    page = f"<body><p>{long[0]}</p>" + "".join(f"<p>{x}</p>" for x in short) + f"<p>{long[1]}</p></body>"
+    assert html_text.main_text(page).split("\n") == [long[0], *short, long[1]]
+    items = [f"{n} spoons" for n in range(12)]
+    recipe = "<body><div class=nav><a href=x>Home</a></div><div><h1>Soup</h1><ul>" + "".join(f"<li>{x}" for x in items) + f"</ul><p>{long[0]}</p></div></body>"
+    assert html_text.main_text(recipe).split("\n") == ["Soup", *items, long[0]]
+
+
+def test_wrappers_set_nothing_aside():
+    w = WORDS.strip()
+    body = f"<h1>Title</h1><p>{WORDS}</p><p>Short.</p>"
+    menu = "<ul class=menu>" + "<li><a href=x>Some page</a>" * 9 + "</ul>"
+    for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>"):
+        for wrapped in (f"<form action=x>{menu}{inner}</form>", f"<div class='page header'>{inner}</div>{menu}", f"<div role=form>{inner}{menu}</div>"):
+            assert html_text.main_text(f"<body>{wrapped}</body>").split("\n") == ["Title", w, "Short."], wrapped
+    assert html_text.main_text(f"<body><div class=widget><article>{body}</article></div><p>Other.</p></body>").split("\n") == ["Title", w, "Short."]
+    assert html_text.main_text(f"<body><article><p>{WORDS}</p></article><div class=comments><article><p>{WORDS * 9}</p></article></div></body>") == w
+    assert html_text.main_text(f"<body><div hidden><p>{WORDS * 9}</p></div><p>{WORDS}</p></body>") == w
+
+
+def test_ids_named_after_their_heading():
+    w = WORDS.strip()
+    page = f"""<body><article><h1>Title</h1><section id="cookies"><h2>Cookies</h2><p>{WORDS}</p></section><div id="menu"><h3>The Menu</h3><p>{WORDS}</p></div>
+    <div id="related"><h3>Related</h3><a href=1>Another one</a> <a href=2>One more</a></div><div id="comments"><h3>Comments</h3><p>{WORDS}</p></div></article></body>"""
+    assert html_text.main_text(page).split("\n") == ["Title", "Cookies", w]
+
+
+def test_links_around_nested_tags():
+    line = html_text.lines_of("<p><a href=x><b><i><u><em><span>deep link</span></em></u></i></b></a> text")[0]
+    assert (line.linked, line.size) == (8, 12)
+
+
+def plain_lines(page):
+    """Blocks outside of named elements of a page without crossing tags, by splitting at tags."""
+    for name in ("header", "footer", "nav", "aside", "script", "style", "title"):
+        page = re.sub(rf"<{name}\b.*?</{name}>", "\n", page, flags=re.DOTALL)
+    page = re.sub(r"<div class=(?:ad|menu|comments)>.*?</div>", "\n", page, flags=re.DOTALL)
+    page = re.sub(r"</?(?:p|h1|h2|li|ul|div|body|html|head|section)\b[^>]*>", "\x00", page.replace("<br>", " "))
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in page.split("\x00")]
+    return [b for b in blocks if b]
+
+
+def test_pages_without_article_against_a_second_way():
+    import random
+
+    random_ = random.Random(4)
+    for _ in range(200):
+        blocks = []
+        for n in range(random_.randrange(2, 12)):
+            size = random_.choice([1, 2, 40, 90, 200])
+            text = " ".join(random_.choice(["word", "caf&eacute;", "<b>bold</b>", "a<br>b", "<a href=x>link</a> and so on"]) for _ in range(size))
+            blocks.append(random_.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<section><p>{}</p></section>"]).format(f"n{n} {text}"))
+        blocks.append(f"<p>{WORDS * 3}</p>")
+        clutter = ["<nav><a href=x>Home</a></nav>", "<div class=ad>Buy!</div>", "<aside><p>More</p></aside>", f"<div class=comments>{WORDS}</div>", "<footer>us</footer>"]
+        for c in clutter:
+            blocks.insert(random_.randrange(len(blocks) + 1), c)
+        page = "<html><head><title>T</title></head><body>" + "".join(blocks) + "</body></html>"
+        assert html_text.main_text(page).split("\n") == plain_lines(page)
