@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,45 +46,71 @@ DRAWS = 256
 #: The line of filling tails is cut into cells of so many tokens.
 CELL = 1 << 16
 _SLICE = 1 << 20
-_KNOWN = 300_000
+_KNOWN = 800_000
+#: What a vocabulary takes for white space, as a class: Python's own would add four control characters.
+_BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    A blank between two visible characters always begins a token of a byte-level vocabulary, so texts
-    are tokenized chunk by chunk, and chunks seen before are looked up.
+    A byte-level vocabulary's tokens never reach over the chunks that ``chunk`` cuts: a word with the
+    blank before it, stops after a word, other visible runs, and white space. Every chunk is
+    tokenized by itself, many at a time, and those seen before are looked up.
     """
 
+    chunk = re.compile(
+        f" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+(?![^{_BLANKS}.,])|[.,]+(?![^{_BLANKS}])|[{_BLANKS}]+(?![^{_BLANKS}])| ?[^{_BLANKS}]+|[{_BLANKS}]+"
+    )
+    between = re.compile(f"(?<=[^{_BLANKS}]) (?=[^{_BLANKS}])")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.between = re.compile(r"(?<=\S) (?=\S)")
-
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str]:
-        first, *rest = self.between.split(text)
-        return [first, *[" " + r for r in rest]]
-
-    def of(self, text: str) -> bytes:
-        out, start = [], 0
+    def _slices(self, text: str) -> Iterator[str]:
+        start = 0
         while start < len(text):
             found = self.between.search(text, start + _SLICE) if start + _SLICE < len(text) else None
             end = found.start() if found else len(text)
-            chunks = self._chunks(text[start:end])
-            new = [c for c in set(chunks) if c not in self.known]
-            own = dict(zip(new, self._encoded(new), strict=True)) if new else {}
-            out.append(b"".join([self.known.get(c) or own.get(c, b"") for c in chunks]))
-            if len(self.known) > _KNOWN:
-                self.known.clear()
-            self.known.update((c, ids) for c, ids in own.items() if len(c) <= 40)
+            yield text[start:end]
             start = end
-        return b"".join(out)
+
+    def _of_group(self, texts: list[str]) -> list[bytes]:
+        cut_up = [self.chunk.findall(t) for t in texts]
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        new = list(set().union(*cut_up).difference(self.known))
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        ids = [e.ids for e in found]
+        ends = np.cumsum([4 * len(i) for i in ids]).tolist()
+        raw = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4 if ends else 0).tobytes()
+        self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut_up]
+        for c in new:
+            if len(c) > 40:
+                del self.known[c]
+        return out
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; about a megabyte is worked on at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        group, places, load = [], [], 0
+        for n, text in enumerate(texts):
+            for part in self._slices(text):
+                group.append(part)
+                places.append(n)
+                load += len(part)
+                if load >= _SLICE:
+                    for k, ids in zip(places, self._of_group(group), strict=True):
+                        out[k].append(ids)
+                    group, places, load = [], [], 0
+        for k, ids in zip(places, self._of_group(group), strict=True):
+            out[k].append(ids)
+        return [b"".join(parts) for parts in out]
 
 
 @cache
@@ -91,8 +118,9 @@ def _ids(path: str) -> Ids:
     return Ids(path)
 
 
-def _document(path: str, text: str, end: int) -> bytes:
-    return _ids(path).of(text) + end.to_bytes(4, "little")
+def _documents(path: str, texts: list[str], end: int) -> list[bytes]:
+    closing = end.to_bytes(4, "little")
+    return [ids + closing for ids in _ids(path).of(texts)]
 
 
 def _tokenized(path: str, length: int, end: int):
@@ -102,11 +130,10 @@ def _tokenized(path: str, length: int, end: int):
         task, row, full = TaskContext.get(), 0, 0
         task = task.partitionId() if task else 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 tokens, tails, fulls, checks, orders = [], [], [], [], []
-                for key, text in zip(part.column(1).to_pylist(), part.column(2), strict=True):
-                    ids = _document(path, text.as_py(), end)
+                for key, ids in zip(part.column(1).to_pylist(), _documents(path, part.column(2).to_pylist(), end), strict=True):
                     n = len(ids) // 4
                     tokens.append(n)
                     tails.append(n % length)
@@ -302,11 +329,10 @@ def _checked(path: str, end: int):
 def _tail_ids(path: str, length: int, end: int):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                ids = _document(path, text.as_py(), end)
-                out.append(ids[len(ids) // (4 * length) * 4 * length :])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["of_key", "ids"])
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                tails = [ids[len(ids) // (4 * length) * 4 * length :] for ids in _documents(path, part.column(1).to_pylist(), end)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails, pa.binary())], names=["of_key", "ids"])
 
     return encoded
 
@@ -398,7 +424,7 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, end: int = END
             out = []
             for _, _, text, s, n in rows:
                 if text is not last:
-                    last, ids = text, _document(tokenizer, text, end)
+                    last, ids = text, _documents(tokenizer, [text], end)[0]
                 out.append(np.frombuffer(ids[4 * s : 4 * (s + n)], "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(out, pa.list_(pa.int32()))],

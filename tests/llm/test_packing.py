@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from postlake.llm import packing
@@ -116,4 +118,10 @@ def test_ids_do_not_depend_on_slices(monkeypatch):
     for size in (1 << 20, 5):
         monkeypatch.setattr(packing, "_SLICE", size)
         known = packing.Ids(PATH)
-        assert [known.of(t or "") for t in texts] == want == [known.of(t or "") for t in texts]
+        assert known.of([t or "" for t in texts]) == want == [known.of([t or ""])[0] for t in texts]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["word", "Öl", " ", "  ", "\n", ".", ",", "'", "'s", "1", "²", "-", "\t", "é", "ñ", "×", "日", "ǅ", "\u00a0", "\x1c", "e\u0301"]), max_size=14).map("".join))
+def test_chunks_end_where_tokens_do(text):
+    assert packing._ids(PATH).of([text])[0] == np.array(plain([text])[0][:-1], "<u4").tobytes()
