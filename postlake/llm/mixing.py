@@ -83,15 +83,18 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", **settings) -> DataFrame
 
     A document is repeated for every epoch that takes it; the one at a source's cut ends at the cut
     (and n_chars, if there, follows). Rows that agree in doc_id, source and text share what is taken
-    of them in equal parts.
+    of them in equal parts, and the words that are left over come from one of them.
     """
     takes = mix(docs, seed=seed, **settings).where("taken > 0")
     takes = takes.groupBy(F.col("key").alias("of_key"), F.col("source").alias("of_source")).agg(
-        F.floor(F.sum("taken") / F.count("*")).alias("taken"), F.max("size").alias("size")
+        F.floor(F.sum("taken") / F.count("*")).alias("taken"), (F.sum("taken") % F.count("*")).alias("over"), F.max("size").alias("size")
     )
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), _key(seed).alias("key"), "source")
     rows = rows.join(takes, (F.col("key") == F.col("of_key")) & F.col("source").eqNullSafe(F.col("of_source")))
+    one = F.min_by(F.struct("row", "size", F.col("over").alias("taken")), F.xxhash64("row")).alias("one")
+    over = rows.where("over > 0").groupBy("key", "source").agg(one).select("one.*")
+    rows = rows.where("taken > 0").select("row", "size", "taken").union(over)
     whole_times = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = (F.col("taken") - whole_times * F.col("size")).cast("int")
     parts = F.concat(F.array_repeat(F.col("size").cast("int"), whole_times), F.when(rest > 0, F.array(rest)).otherwise(F.array()))

@@ -9,7 +9,12 @@ prime p and a permutation is rank -> (u * rank + v) mod p; it maps pairs of bins
 of ranks, as a random permutation does, and the estimate's mean and variance depend on no more.
 
 Banding. 47 bands of 7 bins: a pair of similarity 0.8 is missed with a probability of 1.6e-5, one of
-0.85 with 1e-8; a pair of similarity 0.2 becomes a candidate with 6e-4.
+0.85 with 1e-8; a pair of similarity 0.2 becomes a candidate with 6e-4. Bins of small sets are too
+few to be independent, so sets of less than ``SMALL`` shingles are indexed exactly: two sets as
+similar as asked share one of their first shingles by hash (all but as many as they must have in
+common, and one), which are the keys of small sets, and further keys of sets just large enough to be
+near one. Small sets pass the comparison of signatures below in any case. So links of short texts are
+all found.
 
 Verification. Texts with equal words are one class and take part once. In every band bucket the
 members are first compared with a pivot, and each pair is verified once on the whole shingle sets; so
@@ -17,7 +22,7 @@ groups of copies become components at one comparison for each member and bucket.
 members are then still in different components are searched in blocks of bounded size: members of
 different components whose signatures agree in ``NEAR`` bins or more (a pair of similarity 0.8 does
 not with a probability of 1e-7; the first bins of the signatures are compared beforehand) are
-verified on their sets inside the block, in the first bucket that they share. Only links leave a block. So no link that a bucket holds is lost to a group's size.
+verified on their sets inside the block, in the first band that they share. Only links leave a block. So no link that a bucket holds is lost to a group's size.
 
 Grouping. Distributed union-find (`components`).
 
@@ -25,9 +30,10 @@ Words are what stands between ASCII white space, A-Z lower-cased; the set of a t
 runs of ``width`` words, or the whole sequence if it is shorter. Shingles are told apart by 64-bit
 hashes.
 
-Cases: a NULL or blank text has an empty set and no links; ties take the least doc_id; rows with one
-doc_id are one node (each row keeps its own n_shingles); a row with a NULL doc_id takes no part: it
-is kept, with component_id NULL; other columns are ignored; an empty table gives no rows.
+Cases: a NULL or blank text has an empty set and no links; ties take the least doc_id; rows that agree
+in doc_id and text are one node, rows that share a doc_id and differ in text are told apart (`_told_apart`); a
+row with a NULL doc_id takes no part: it is kept, with component_id NULL; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +57,8 @@ BANDS, ROWS = 47, 7
 NEAR = 225
 #: The same for the first so many bins, which tell beforehand which members are worth a closer look.
 SKETCH, NEAR_SKETCH = 128, 76
+#: Sets of fewer shingles are indexed by their first shingles.
+SMALL = 20
 #: Members of a bucket that are compared in one piece.
 BLOCK = 512
 #: Shingles that are ranked together.
@@ -117,7 +125,28 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return out.view(np.int64)
 
 
-def _signed(width: int):
+def first_keys(shingles_: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which two small sets of ``percent`` similarity or more share one; sets are sorted by hash."""
+    n = len(shingles_)
+    if n == 0 or n * percent >= SMALL * 100:
+        return np.empty(0, np.int64)
+    return mix(shingles_[: n - -(-n * percent // 100) + 1] ^ np.uint64(0x7F4A7C15F39CC060)).view(np.int64)
+
+
+def keys_of(sets: list[np.ndarray], ranks: np.ndarray, percent: int) -> np.ndarray:
+    """A row of bucket keys for each set; 0 where there is none."""
+    most = SMALL * (100 - percent) // percent + 2
+    out = np.zeros((len(sets), BANDS + most), np.int64)
+    out[:, :BANDS] = band_keys(ranks)
+    for k, s in enumerate(sets):
+        if len(s) < SMALL:
+            out[k, :BANDS] = 0
+        first = first_keys(s, percent)
+        out[k, BANDS : BANDS + len(first)] = first
+    return out
+
+
+def _signed(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -125,9 +154,9 @@ def _signed(width: int):
                 both = [shingles(t.as_py(), width) for t in part.column(1)]
                 sets = [s for s, _ in both]
                 ranks = signatures(sets)
-                keys = band_keys(ranks)
+                keys = keys_of(sets, ranks, percent)
                 full = np.array([len(s) > 0 for s in sets])
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int64()))
                 bands = pc.if_else(pa.array(full), bands, pa.scalar(None, bands.type))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -226,10 +255,11 @@ def _near(key: tuple, rows: list[dict], least: int, first: bool) -> Iterator[tup
     bucket, low, high = key
     component = np.array([r["component"] for r in rows])
     piece = np.array([r["piece"] for r in rows])
+    small = np.array([r["small"] for r in rows])
     bins = np.frombuffer(b"".join(r["bins"] for r in rows), np.uint8).reshape(len(rows), -1)
     if first:
         bands = np.array([r["bands"] for r in rows], np.int64)
-        before = np.cumsum(bands == bucket, axis=1) == 0  # the bands ahead of this bucket's
+        before = (np.cumsum(bands == bucket, axis=1) == 0) & (bands != 0)  # the bands ahead of this bucket's
     for x in range(len(rows) - 1):
         rest = slice(x + 1, None)
         fit = component[rest] != component[x]
@@ -237,7 +267,7 @@ def _near(key: tuple, rows: list[dict], least: int, first: bool) -> Iterator[tup
             fit &= piece[rest] != piece[x]
         if not fit.any():
             continue
-        fit &= (bins[rest] == bins[x]).sum(axis=1) >= least
+        fit &= ((bins[rest] == bins[x]).sum(axis=1) >= least) | small[rest] | small[x]
         if first:
             fit &= ~((bands[rest] == bands[x]) & before[x]).any(axis=1)
         for y in np.flatnonzero(fit).tolist():
@@ -269,14 +299,14 @@ def _block_links(percent: int):
 def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that connect the classes as all links of their band buckets would.
 
-    ``signed`` has (id, bands, bins), one row for each class; ``texts`` has (id, text).
+    ``signed`` has (id, bands, bins, small), one row for each class; ``texts`` has (id, text).
     """
-    buckets = signed.select("id", F.explode("bands").alias("bucket"))
+    buckets = signed.select("id", F.explode("bands").alias("bucket")).where("bucket <> 0")
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = cut(buckets.join(many, "bucket").select("bucket", "id", F.lit(None).cast("long").alias("component")), "buckets")
     stars = cut(_verified(cut(_pivot_pairs(buckets), "pairs"), texts, width, percent), "links")
     mixed = cut(_mixed(buckets, components(stars)), "mixed")
-    blocks = _in_blocks(mixed.join(signed.select("id", F.substring("bins", 1, SKETCH).alias("bins")), "id"))
+    blocks = _in_blocks(mixed.join(signed.select("id", F.substring("bins", 1, SKETCH).alias("bins"), "small"), "id"))
     near = cut(blocks.mapInArrow(_near_members, "bucket long, id long").distinct(), "near")
     if near.isEmpty():
         return stars
@@ -286,42 +316,80 @@ def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return stars.union(cut(_in_blocks(rest).mapInArrow(_block_links(percent), "a long, b long").distinct(), "links"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
-    signed = texts.mapInArrow(_signed(width), "doc_id long, n_shingles long, words binary, bands array<long>, bins binary")
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(row, doc_id, text, node) for the rows of ``docs``, and the ids given out (of_id, alias), if any.
+
+    A node is the doc_id, but for rows whose doc_id other rows have with another text: each of these
+    texts is a node of its own, numbered below all doc_ids.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = bounded(ids.select(F.col("doc_id").alias("again")))
+    if repeated.isEmpty():
+        return rows.withColumn("node", F.col("doc_id")), None
+    digest = F.md5("text")
+    texts = rows.join(repeated, F.col("doc_id") == F.col("again"), "left_semi").groupBy("doc_id", digest.alias("digest")).count()
+    below = min(0, rows.agg(F.min("doc_id")).first()[0]) - 1
+    alias = F.lit(below) - F.monotonically_increasing_id()
+    given = bounded(texts.select(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), alias.alias("alias")))
+    named = rows.join(given, (F.col("doc_id") == F.col("of_id")) & (digest == F.col("of_digest")), "left")
+    return named.select("row", "doc_id", "text", F.coalesce("alias", "doc_id").alias("node")), given.select("of_id", "alias")
+
+
+def _grouped(texts: DataFrame, width: int, percent: int, repeated: bool) -> tuple[DataFrame, DataFrame]:
+    """The sets' sizes (node, n_shingles) of ``texts`` (node, text), and (of, group) of the nodes that have links."""
+    signed = texts.select("node", "text").mapInArrow(_signed(width, percent), "node long, n_shingles long, words binary, bands array<long>, bins binary")
     signed = cut(signed, "signed")
     classes = (
-        signed.where("words is not null and doc_id is not null")
+        signed.where("words is not null and node is not null")
         .groupBy("words")
-        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "bins"), "doc_id").alias("print"))
-        .select("words", "id", "print.bands", "print.bins")
+        .agg(F.min("node").alias("id"), F.min_by(F.struct("bands", "bins", "n_shingles"), "node").alias("print"))
+        .select("words", "id", "print.bands", "print.bins", (F.col("print.n_shingles") < SMALL).alias("small"))
     )
     classes = cut(classes, "classes")
-    found = links(classes.select("id", "bands", "bins"), texts.select(F.col("doc_id").alias("id"), "text"), width, percent)
-    members = signed.select("doc_id", "words").join(classes.select("words", "id"), "words")
-    same = members.where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    grouped = components(found.union(same))
-    out = signed.select("doc_id", "n_shingles").join(grouped, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    own = texts.select(F.col("node").alias("id"), "text")
+    own = own.groupBy("id").agg(F.first("text").alias("text")) if repeated else own  # one row for each node
+    found = links(classes.select("id", "bands", "bins", "small"), own, width, percent)
+    members = signed.select("node", "words").join(classes.select("words", "id"), "words")
+    same = members.where("node != id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    grouped = components(found.union(same)).select(F.col("node").alias("of"), F.col("component").alias("group"))
+    return signed.select("node", "n_shingles"), grouped
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    rows, given = _told_apart(docs.select("doc_id", "text"))
+    sizes, grouped = _grouped(rows, width, percent, given is not None)
+    out = sizes.join(grouped, F.col("node") == F.col("of"), "left").withColumn("group", F.coalesce("group", "node"))
+    if given is None:
+        out = out.withColumns({"doc_id": F.col("node"), "component_id": F.col("group")})
+    else:
+        out = cut(out.join(given, F.col("node") == F.col("alias"), "left").withColumn("doc_id", F.coalesce("of_id", "node")), "named")
+        least = out.groupBy(F.col("group").alias("least_of")).agg(F.min("doc_id").alias("component_id"))
+        out = out.join(least, F.col("group") == F.col("least_of"), "left")
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are kept: one for each group.
+    """The rows of ``docs``, with all their columns, that are kept: one for each group of near copies.
 
-    Of rows that repeat the kept doc_id one stays, the one with the least text digest and place in
-    the table. Rows with a NULL doc_id all stay.
+    It is one with the least doc_id of its group; of rows that agree in doc_id and text one stays. Rows
+    that share a doc_id and differ in text each stand for themselves. Rows with a NULL doc_id all stay.
     """
-    found = near_duplicates(docs, width, percent)
-    gone = bounded(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
-    repeated = bounded(repeated.select(F.col("doc_id").alias("repeated_id")))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), "doc_id").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    rows = rows.join(repeated, F.col("doc_id") == F.col("repeated_id"), "left")
-    single = rows.where("repeated_id is null").select("row.*")
-    several = rows.where("repeated_id is not null").groupBy("doc_id").agg(F.min_by("row", F.md5(F.coalesce("row.text", F.lit("")))).alias("row"))
+    rows, given = _told_apart(docs)
+    _, grouped = _grouped(rows, width, percent, given is not None)
+    if given is not None:  # ids given out come before all others, so groups name their first anew
+        grouped = cut(grouped.join(given, F.col("of") == F.col("alias"), "left"), "named")
+        first = F.min_by("of", F.struct(F.coalesce("of_id", "of"), F.col("of")))
+        grouped = grouped.join(grouped.groupBy(F.col("group").alias("of_group")).agg(first.alias("first")), F.col("group") == F.col("of_group"))
+        grouped = grouped.select("of", F.col("first").alias("group"))
+    gone = bounded(grouped.where("of <> group").select(F.col("of").alias("gone")))
+    rows = rows.select("row", "node").join(gone, F.col("node") == F.col("gone"), "left_anti")
+    if given is None:
+        return rows.select("row.*")
+    again = given.select(F.col("alias").alias("again"))
+    single = rows.join(again, F.col("node") == F.col("again"), "left_anti").select("row.*")
+    several = rows.join(again, F.col("node") == F.col("again"), "left_semi").groupBy("node").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return single.union(several.select("row.*"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,6 +68,43 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.source) for r in kept.collect()) == [(0, "x"), (1, "y"), (3, "n")]
 
 
+def test_unrelated_texts_of_one_id(spark):
+    a, b, c = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    for rows, kept, named in (
+        ([(1, a), (1, b), (2, c), (3, a)], [(1, a), (1, b), (2, c)], {(1, 1, True): 2, (2, 2, True): 1, (3, 1, False): 1}),
+        ([(5, a), (5, b), (2, a)], [(2, a), (5, b)], {(2, 2, True): 1, (5, 2, False): 1, (5, 5, True): 1}),
+        ([(7, a), (7, b), (7, a), (-3, b), (None, a), (None, a)], [(-3, b), (7, a), (None, a), (None, a)], {(7, 7, True): 2, (7, -3, False): 1, (-3, -3, True): 1, (None, None, True): 2}),
+        ([(4, a)] * 300 + [(4, c), (9, None), (9, "")], [(4, a), (4, c), (9, ""), (9, None)], None),
+    ):
+        docs = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, node string, n int").repartition(3)
+        got = sorted(((r.doc_id, r.text) for r in neardup.without_near_duplicates(docs).collect()), key=repr)
+        if rows[-1] == (9, ""):  # NULL and empty are one text
+            assert got[:2] == [(4, a), (4, c)] and len(got) == 3
+        else:
+            assert got == sorted(kept, key=repr)
+        if named:
+            assert Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()) == named
+
+
+def test_small_sets_share_a_key():
+    random_ = np.random.default_rng(8)
+    lost = near = 0
+    for _ in range(4_000):
+        union = int(random_.integers(1, 32))
+        pool = random_.integers(0, 2**63, union, dtype=np.int64).astype(np.uint64)
+        apart = int(random_.integers(0, union // 5 + 1))
+        left = int(random_.integers(0, apart + 1))
+        sets = [np.sort(pool[left:]), np.sort(np.concatenate([pool[:left], pool[apart:]]))]
+        if min(map(len, sets)) == 0 or min(map(len, sets)) >= neardup.SMALL:
+            continue
+        shared = len(np.intersect1d(*sets))
+        if 100 * shared >= 80 * (len(sets[0]) + len(sets[1]) - shared):
+            near += 1
+            keys = neardup.keys_of(sets, neardup.signatures(sets), 80)
+            lost += not set(keys[0][keys[0] != 0]) & set(keys[1][keys[1] != 0])
+    assert near > 1_500 and lost == 0
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -48,3 +48,13 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [(r.score, r.predicted) for r in quality.assess(docs, none).collect()] == [(0.5, 1)]
     assert quality.assess(docs.where(F.lit(False)), none).count() == 0
+
+
+def test_repeated_ids_stay_within_the_bound(spark, monkeypatch):
+    ids = [n for n in range(40) if zlib.crc32(str(n).encode()) % 5][:2]
+    docs = spark.createDataFrame([(i, f"text number {k} of many words", 30) for i in ids for k in range(1_500)], "doc_id long, text string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, k) for k, i in enumerate(ids)] * 2, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, targets, *a, **k: seen.append((len(rows), len(targets))))
+    quality.train(docs, labels, rows=2)
+    assert seen == [(2, 2)]
