@@ -172,7 +172,6 @@ def test_second_run_changes_nothing(spark, priorities):
 
 
 def test_one_posting_fills_the_batch(spark, priorities, monkeypatch):
-    monkeypatch.setattr(merge, "FOLD_ROWS", 4)
     monkeypatch.setattr(merge, "CHUNK_ROWS", 8)
     rnd = random.Random(3)
     batch = [row("a", "hot", title=f"Postdoc {rnd.randrange(3)}", tags=[f"t{rnd.randrange(14)}"], duration=rnd.choice(["", "2 years"])) for _ in range(40)]
@@ -199,6 +198,38 @@ def test_random_batches(spark, priorities, seed):
     check(spark, priorities, batches)
 
 
+def test_hash_in_python_is_the_column(spark):
+    from postlake.operators import fold
+    from postlake.operators.normalize import content_hash
+
+    odd = ["", None, "plain", 'q"uo\\te/', "\x00\x01\x1f\x7f\t\n\r\b\f", "é € \u2028 \U0001f600", "<&>'"]
+    rows = [row("a", str(n), title=t, description=odd[-n - 1], city=t, tags=tags, deadline=d) for n, t in enumerate(odd) for tags in (None, [], [t, None], ["x", t]) for d in (None, T0.date())]
+    data = [tuple(r[c] for c in COLUMNS) for r in rows]
+    got = spark.createDataFrame(data, schemas.JOB).withColumn("content_hash", content_hash()).collect()
+    for r in got:
+        assert fold.content_hash({c: (str(r[c]) if c == "deadline" and r[c] else r[c]) for c in HASHED}) == r.content_hash
+        assert fold.content_hash(r.asDict()) == r.content_hash
+
+
+def test_very_many_versions_of_one_posting(spark):
+    from postlake.operators import fold
+
+    columns = [*merge.STATE, "apply_usable", "priority"]
+    r = row("a", "hot")
+    kinds = ", ".join(f"{c.split()[0]} {c.split()[1]}" for c in schemas.JOB.replace("\n", " ").split(",")) + ", apply_usable boolean, priority long"
+    form = spark.createDataFrame([], kinds).select(*columns).schema
+    n = 100_000
+    one = spark.createDataFrame([tuple({**r, "apply_usable": False, "priority": 10}[c] for c in columns)], form)
+    versions = spark.range(1, n + 1).select(F.lit("hot").alias("job_id"), F.col("id").alias("version_no")).crossJoin(one.select(F.struct(*columns).alias("v")))
+    versions = versions.withColumn("v", F.col("v").withField("title", F.concat(F.lit("Postdoc "), (F.col("version_no") % 3).cast("string"))))
+    empty = spark.createDataFrame([], form).select(F.lit("x").alias("job_id"), F.struct(*columns).alias("row"))
+    rules_ = fold.Rules(merge.EDITABLE, merge.WEAK, merge.PAGE_TEXT, merge.RANKED, merge.RANKED_TEXT)
+    out = merge.cut(fold.fold_versions(empty, versions, rules_))
+    assert {r.action: r["count"] for r in out.groupBy("action").count().collect()} == {"insert": 1, "update": n - 1}
+    (last,) = out.where("row IS NOT NULL").collect()
+    assert last.version_no == n and last.row.title == f"Postdoc {n % 3}"
+
+
 def test_scans_match_plain_windows(spark):
     from pyspark.sql import Window
 
