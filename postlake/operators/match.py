@@ -4,19 +4,27 @@ The steps of the cascade differ only in the key they compare, so every row is tu
 keys, each tagged with its step, and one equi-join serves all steps. The stored side is reduced
 to the best posting per key first. A key shared by a third of all postings is then one row, no
 pairs are made within a key, and nothing has to be dropped to escape such a key.
+
+Keys are pairs of 64-bit hashes of the compared columns, and postings get numbers in the order in
+which they win, so all that is aggregated and joined are whole numbers.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.functions.urls import with_address
+from postlake.session import cut
 from postlake.sources.pages import usable_link
 
 #: Steps in the order in which they are tried.
 IDENTITY, OBSERVED, CANONICAL, SOURCE_URL, APPLICATION, SHARED_URL, CONTENT = range(7)
-_SEP = "\u0001"
+#: A step and a posting's number in one: whole numbers are told apart by their leading bits.
+_STEP_BITS = 59
 
 
 def with_application(rows: DataFrame) -> DataFrame:
@@ -39,7 +47,9 @@ def explicit_application(get) -> Column:
 
 def _key(tag: str, *parts: Column) -> Column:
     """Tagged key, NULL if any part is NULL."""
-    return F.concat(F.lit(tag), *[x for p in parts for x in (F.lit(_SEP), p.cast("string"))])
+    stated = [p.isNotNull() for p in parts]
+    both = F.struct(F.xxhash64(F.lit(tag), *parts).alias("high"), F.xxhash64(F.lit(f"{tag} again"), *parts).alias("low"))
+    return F.when(reduce(and_, stated), both)
 
 
 def _title_key() -> Column:
@@ -84,8 +94,16 @@ def search_keys() -> Column:
     )
 
 
+def observed_keys() -> Column:
+    """Keys under which a posting can be found by an observation of it."""
+    return F.array(
+        _key("o", F.col("source_key"), F.col("source_item_id")),
+        _key("r", F.lower("institution"), F.col("source_item_id")),
+    )
+
+
 def stored_keys(jobs: DataFrame, observations: DataFrame) -> DataFrame:
-    """(key, first_seen_at, job_id) of every collected posting, through its own columns and
+    """(high, low, first_seen_at, job_id) of every collected posting, through its own columns and
     through its observations."""
     own = jobs.where((F.col("origin_type") == "collected") & ~F.col("is_demo"))
     direct = own.select(
@@ -94,45 +112,45 @@ def stored_keys(jobs: DataFrame, observations: DataFrame) -> DataFrame:
     seen = observations.select("job_id", "source_key", "source_item_id").join(
         own.select(F.col("id").alias("job_id"), "first_seen_at", "institution"), "job_id"
     )
-    observed = seen.select(
-        F.explode(
-            F.array(
-                _key("o", F.col("source_key"), F.col("source_item_id")),
-                _key("r", F.lower("institution"), F.col("source_item_id")),
-            )
-        ).alias("key"),
-        "first_seen_at",
-        "job_id",
-    )
-    return direct.unionByName(observed).where(F.col("key").isNotNull())
+    observed = seen.select(F.explode(observed_keys()).alias("key"), "first_seen_at", "job_id")
+    return direct.unionByName(observed).where(F.col("key").isNotNull()).select("key.high", "key.low", "first_seen_at", "job_id")
+
+
+def wanted_keys(incoming: DataFrame, *steps: int) -> DataFrame:
+    """(batch_seq, step, high, low): the keys that incoming rows look for in some steps."""
+    wanted = incoming.select("batch_seq", F.inline(search_keys())).where(F.col("step").isin(*steps))
+    return wanted.select("batch_seq", "step", "key.high", "key.low")
+
+
+def in_order(jobs: DataFrame) -> DataFrame:
+    """(job_id, no): numbers of postings that grow with the time they were first seen, then with their id."""
+    slim = jobs.where((F.col("origin_type") == "collected") & ~F.col("is_demo")).select("first_seen_at", F.col("id").alias("job_id"))
+    sorted_ = slim.repartitionByRange("first_seen_at", "job_id").sortWithinPartitions("first_seen_at", "job_id")
+    return cut(sorted_.select("job_id", F.monotonically_increasing_id().alias("no")), "order")
 
 
 def match_step(incoming: DataFrame, jobs: DataFrame, observations: DataFrame, *steps: int) -> DataFrame:
     """First hit among the given steps per incoming row: ``batch_seq, job_id, step``.
 
     Within a step the posting first seen wins, then the smaller id. Rows without a hit are left
-    out. Stored keys are 128-bit digests and are reduced to their best posting in each task before
-    anything is shuffled, so a key that a third of the postings share is a row from each task.
+    out. Stored keys are reduced to their best posting in each task before anything is shuffled, so
+    a key that a third of the postings share is a row from each task.
     """
-    wanted = (
-        incoming.select("batch_seq", F.explode(search_keys()).alias("wanted_key"))
-        .select("batch_seq", "wanted_key.*")
-        .where(F.col("step").isin(*steps))
-    )
-    digest = F.unhex(F.md5("key")).alias("key")
-    wanted = wanted.select("batch_seq", "step", digest)
-    best = (
-        stored_keys(jobs, observations)
-        .select(digest, "first_seen_at", "job_id")
-        .groupBy("key")
-        .agg(F.min(F.struct("first_seen_at", "job_id")).alias("hit"))
-    )
-    return (
-        wanted.join(best, "key")
+    wanted = wanted_keys(incoming, *steps)
+    order = in_order(jobs)
+    own = jobs.join(order, F.col("id") == F.col("job_id"))
+    direct = own.select(F.explode(own_keys()).alias("key"), "no")
+    known = own.select(F.col("id").alias("job_id"), "institution", "no")
+    seen = observations.select("job_id", "source_key", "source_item_id").join(known, "job_id")
+    keys = direct.union(seen.select(F.explode(observed_keys()).alias("key"), "no")).where(F.col("key").isNotNull())
+    best = keys.groupBy("key.high", "key.low").agg(F.min("no").alias("no"))
+    first = (
+        wanted.join(best, ["high", "low"])
         .groupBy("batch_seq")
-        .agg(F.min(F.struct("step", "hit")).alias("first"))
-        .select("batch_seq", F.col("first.hit.job_id").alias("job_id"), F.col("first.step").alias("step"))
+        .agg(F.min(F.shiftleft(F.col("step").cast("long"), _STEP_BITS) + F.col("no")).alias("first"))
+        .select("batch_seq", F.col("first").bitwiseAND(F.lit((1 << _STEP_BITS) - 1)).alias("no"), F.shiftright("first", _STEP_BITS).cast("int").alias("step"))
     )
+    return first.join(order, "no").select("batch_seq", "job_id", "step")
 
 
 def match_cascade(incoming, jobs, observations) -> DataFrame:
@@ -159,19 +177,14 @@ def match_cross_source(incoming, jobs, observations) -> DataFrame:
 def batch_leaders(incoming: DataFrame) -> DataFrame:
     """For each row, the earlier row of the batch it would match by the cascade:
     ``batch_seq, leader, step``. A key is reduced to its earliest row before the join."""
-    item_keys = F.array(
-        _key("o", F.col("source_key"), F.col("source_item_id")),
-        _key("r", F.lower("institution"), F.col("source_item_id")),
-    )
     first = (
-        incoming.select("batch_seq", F.explode(F.concat(own_keys(), item_keys)).alias("key"))
+        incoming.select("batch_seq", F.explode(F.concat(own_keys(), observed_keys())).alias("key"))
         .where(F.col("key").isNotNull())
-        .groupBy("key")
+        .groupBy("key.high", "key.low")
         .agg(F.min("batch_seq").alias("leader"))
     )
-    wanted = incoming.select("batch_seq", F.explode(search_keys()).alias("wanted_key")).select("batch_seq", "wanted_key.*")
     return (
-        wanted.join(first, "key")
+        wanted_keys(incoming, *range(7)).join(first, ["high", "low"])
         .where(F.col("leader") < F.col("batch_seq"))
         .groupBy("batch_seq")
         .agg(F.min(F.struct("step", "leader")).alias("first"))
