@@ -7,7 +7,8 @@ from postlake.operators import match, merge
 from postlake.operators.accounting import batch_metrics
 from postlake.operators.normalize import content_fingerprint
 from postlake.plans.queries import AS_OF_TS, register, view
-from postlake.session import cut
+from postlake.session import cut, scratch_path
+from postlake.sources.buckets import Store
 from postlake.sources.tables import backfill_language, backfill_observations, copy_runs
 
 _JOB_COLUMNS = [c.split()[0] for c in schemas.JOB.replace("\n", " ").split(",")]
@@ -135,6 +136,61 @@ def _postings(spark, d):
     )
 
 
+def _whole_rows() -> str:
+    """SQL for all columns of the jobs table after the batch."""
+    old = lambda c: f"p.{c}"
+    keep_page = "p.source_type = 'html' AND i.source_type = 'rss'"
+    out = {c: f"CASE WHEN o.action IN ('update', 'promote') THEN i.{c} ELSE p.{c} END" for c in merge.EDITABLE}
+    for c, stand_in in merge.PAGE_TEXT.items():
+        kept = old(c) if stand_in is None else f"coalesce(nullif(p.{c}, ''), p.{stand_in})"
+        out[c] = f"CASE WHEN o.action NOT IN ('update', 'promote') OR o.action IS NULL THEN p.{c} WHEN {keep_page} THEN {kept} ELSE i.{c} END"
+    for c in ("deadline", "duration"):
+        out[c] = f"CASE WHEN o.action IN ('update', 'promote') THEN coalesce(i.{c}, p.{c}) ELSE p.{c} END"
+    link = "CASE WHEN i.apply_url <> i.source_url THEN i.apply_url WHEN p.apply_url <> p.source_url THEN p.apply_url ELSE i.apply_url END"
+    out["apply_url"] = f"CASE WHEN o.action IN ('update', 'promote') THEN {link} ELSE p.apply_url END"
+    out["source_type"] = "CASE WHEN o.action IN ('update', 'promote') THEN CASE WHEN 'html' IN (p.source_type, i.source_type) THEN 'html' ELSE 'rss' END ELSE p.source_type END"
+    out["source_key"] = "CASE WHEN o.action IN ('update', 'promote') THEN i.source_key ELSE p.source_key END"
+    out["source_item_id"] = "CASE WHEN o.action = 'promote' THEN i.source_item_id ELSE p.source_item_id END"
+    out["updated_at"] = "CASE WHEN o.action IN ('update', 'promote') THEN i.updated_at ELSE p.updated_at END"
+    for c in ("last_seen_at", "last_verified_at"):
+        out[c] = f"coalesce(i.{c}, p.{c})"
+    out |= {"collection_state": "CASE WHEN o.action IS NULL THEN p.collection_state ELSE 'active' END", "is_active": "o.action IS NOT NULL OR p.is_active"}
+    out |= {"expiry_reason": "CASE WHEN o.action IS NULL THEN p.expiry_reason END"}
+    fresh = {c: f"i.{c}" for c in _JOB_COLUMNS}
+
+    def shown(c, v):
+        if c in ("deadline", "posted_at"):
+            return f"CAST({v} AS VARCHAR)"
+        if c.endswith("_at"):
+            return f"strftime({v}, '%Y-%m-%d %H:%M:%S')"
+        return f"array_to_string({v}, '|')" if c == "tags" else v
+
+    names = [c for c in _JOB_COLUMNS if c != "content_hash"]
+    stored = ", ".join(f"{shown(c, out.get(c, old(c)))} AS {c}" for c in names)
+    added = ", ".join(f"{shown(c, fresh[c])} AS {c}" for c in names)
+    return f"""WITH {STORED}, o AS (SELECT * FROM outcomes WHERE nth = 1)
+      SELECT {stored} FROM postings_v p LEFT JOIN o ON o.job_id = p.id AND o.action <> 'insert' LEFT JOIN incoming_v i ON i.batch_seq = o.batch_seq
+      UNION ALL SELECT {added} FROM o JOIN incoming_v i ON i.batch_seq = o.batch_seq WHERE o.action = 'insert'"""
+
+
+@register("upsert_whole_rows", *V, "source_dim", oracle=_whole_rows())
+def _whole(spark, d):
+    return _stored(spark, d).jobs.select(*[c for c in _JOB_COLUMNS if c != "content_hash"])
+
+
+@register("stored_in_buckets", *V, "source_dim", oracle=_whole_rows())
+def _bucketed(spark, d):
+    """The same in two batches of a bucketed store, the second delivered twice."""
+    store = Store(spark, scratch_path(spark, "store"), buckets=64)
+    jobs = cut(_jobs(spark, d), "jobs")
+    store.load(jobs, _known(spark, d, jobs))
+    batch, ranks = cut(_incoming(spark, d), "batch"), view(spark, d, "source_dim")
+    half = batch.agg(F.expr("percentile_approx(batch_seq, 0.5)")).first()[0]
+    for number, part in ((2, batch.where(F.col("batch_seq") <= half)), (3, batch.where(F.col("batch_seq") > half)), (3, batch)):
+        store.store(part, ranks, number)
+    return store.read("jobs").select(*[c for c in _JOB_COLUMNS if c != "content_hash"])
+
+
 @register(
     "stored_primary", *V, "source_dim",
     oracle=f"""WITH {STORED}, obs AS (SELECT job_id, source_key, source_item_id, is_primary, first_seen_at FROM known_v
