@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from postlake.operators import lifecycle, present, score, search, search_tables, selection
 from postlake.operators.accounting import sources_per_job, status_counts
 from postlake.plans.queries import AS_OF, AS_OF_TS, register, view
+from postlake.session import scratch_path
 from postlake.sources import tables
 
 DAY = f"DATE '{AS_OF}'"
@@ -61,6 +62,26 @@ register(
 )(_page({"language": "english", "deadline": "60"}, 100))
 
 
+@register(
+    "search_after", "postings",
+    oracle=f"""SELECT id, title, CAST(posted_at AS VARCHAR) AS posted_at, row_number() OVER (ORDER BY posted_at DESC, created_at DESC, id DESC) - 41 AS place
+      FROM postings_v WHERE is_active AND {PUBLIC} AND {NOT_PAST} AND lower(research_area) = 'furniture' AND contains(lower(language), 'english')
+      ORDER BY posted_at DESC, created_at DESC, id DESC LIMIT 20 OFFSET 40""",
+)
+def _after(spark, d):
+    """The third page, each page found from the last row of the one before."""
+    path = scratch_path(spark, "search")
+    search.write_search_table(view(spark, d, "postings"), path)
+    table, last = spark.read.parquet(path), None
+    for _ in range(3):
+        page = search.search_after(table, {"research_area": " Furniture", "language": "English"}, AS_OF, last, 20)
+        shown = page.select("posted_at", "created_at", "id").collect()
+        if not shown:
+            break
+        last = tuple(shown[-1])
+    return page.select("id", "title", "posted_at").withColumn("place", F.monotonically_increasing_id())
+
+
 @register(
     "search_total", "postings",
     oracle=f"""SELECT count(*) AS total, least(greatest(count(*) - 20, 0), 20) AS shown,

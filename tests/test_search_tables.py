@@ -70,3 +70,36 @@ def test_needles_shorter_than_a_gram(spark):
     right = spark.createDataFrame([(n,) for n in needles] + [("a",), ("",)], "needle string")
     got = sorted((r.needle, r.text_id) for r in containing(left, right).collect())
     assert got == sorted((n, k) for n in needles for k, t in enumerate(texts) if n in t)
+
+
+def test_pages_by_key_join_up(spark, tmp_path):
+    import itertools
+
+    rows = []
+    for k, (posted, created) in enumerate(itertools.product([None, 1, 1, 2, 9], [None, 3, 3, 5, 8])):
+        day = posted and AS_OF - dt.timedelta(days=posted)
+        at = created and dt.datetime(2026, 1, created)
+        rows += [(f"j{k}{x}", day, at, "Norway" if x else " NORWAY ", "Ice") for x in range(3)]
+    form = "id string, posted_at date, created_at timestamp, country string, research_area string"
+    fixed = dict(title="t", institution="i", city="c", language="English", description="d")
+    table = spark.createDataFrame(rows, form).withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumns({
+        "tags": F.array(F.lit("x")), "deadline": F.lit(None).cast("date"), "is_active": F.lit(True), "is_demo": F.lit(False),
+        "origin_type": F.lit("collected"), "collection_state": F.lit("active"),
+    })
+    search.write_search_table(table, str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    want = [r.id for r in table.orderBy(*search.newest_first()).collect()]
+    got, last = [], None
+    while True:
+        page = search.search_after(stored, {"country": "norway"}, AS_OF, last, 7).collect()
+        if not page:
+            break
+        got += [r.id for r in page]
+        last = (page[-1].posted_at, page[-1].created_at, page[-1].id)
+    assert got == want
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        search.search_after(stored, {"country": "norway"}, AS_OF, (AS_OF, dt.datetime(2026, 1, 1), "j"), 7).explain("formatted")
+    pushed = "".join(line for line in shown.getvalue().split("PushedFilters:")[1:])
+    assert "EqualTo(country_key,norway)" in pushed and "posted_at," in pushed
+    assert "TakeOrderedAndProject" in shown.getvalue()
