@@ -136,46 +136,42 @@ def comparison_rows(jobs: DataFrame, scores: DataFrame | None = None, keys: tupl
     ).otherwise(missing)
     same = F.coalesce(comparable(F.col("apply_url")) == comparable(F.col("source_url")), F.lit(False))
     none = F.lit(None).cast("string")
-    cells = [
-        ("position", "Position", stated(F.col("title")), none),
-        ("institution", "Institution", stated(F.col("institution")), none),
-        ("city", "City", stated(F.col("city")), none),
-        ("country", "Country", stated(F.col("country")), none),
-        ("research", "Research areas", stated(F.col("research_area")), none),
-        ("source-language", "Source language", language_label(F.col("source_language")), none),
-        ("posted", "Posted date", day(F.col("posted_at")), none),
-        ("deadline", "Deadline", day(F.col("deadline")), none),
-        ("duration", "Duration", stated(F.col("duration")), none),
-        ("employment", "Employment type", stated(F.col("employment_type")), none),
-        ("salary", "Salary or funding", missing, none),
-        (
-            "official", "Official source",
+    cells = {
+        "position": ( stated(F.col("title")), none),
+        "institution": ( stated(F.col("institution")), none),
+        "city": ( stated(F.col("city")), none),
+        "country": ( stated(F.col("country")), none),
+        "research": ( stated(F.col("research_area")), none),
+        "source-language": ( language_label(F.col("source_language")), none),
+        "posted": ( day(F.col("posted_at")), none),
+        "deadline": ( day(F.col("deadline")), none),
+        "duration": ( stated(F.col("duration")), none),
+        "employment": ( stated(F.col("employment_type")), none),
+        "salary": ( missing, none),
+        "official": (
             F.when(official, F.concat(F.lit("Yes"), by)).when(~official, F.concat(F.lit("No"), by)).otherwise(missing),
             none,
         ),
-        (
-            "direct", "Direct application available",
+        "direct": (
             F.when(direct_application(F.col("apply_url"), F.col("source_url")), "Yes").otherwise("No"),
             none,
         ),
-        ("sources", "Source count", stated(F.col("source_count")), none),
-        ("verified", "Last verified", day(F.col("last_verified_at")), none),
-        ("preference", "Preference match", preference, none),
-        (
-            "source-action", "Source action",
+        "sources": ( stated(F.col("source_count")), none),
+        "verified": ( day(F.col("last_verified_at")), none),
+        "preference": ( preference, none),
+        "source-action": (
             F.when(source_url.isNull(), missing).when(official, "View official source").otherwise("View original source"),
             source_url,
         ),
-        (
-            "apply-action", "Apply action",
+        "apply-action": (
             F.when(apply_url.isNull(), missing).when(same, "View application details").otherwise("View and apply"),
             apply_url,
         ),
-    ]
+    }
     array = F.array(
         *[
-            F.struct(F.lit(k).alias("key"), F.lit(l).alias("label"), v.alias("value"), h.alias("href"))
-            for k, l, v, h in cells
+            F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), cells[key][0].alias("value"), cells[key][1].alias("href"))
+            for key, label in rules.COMPARISON
         ]
     )
     return rows.select(*keys, F.posexplode(array).alias("row_no", "cell")).select(

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake import rules
 from postlake.functions.once import bind, with_once
 from postlake.functions.text import nfkd, words
 from postlake.operators.present import direct_application, language_code
@@ -113,6 +114,7 @@ def _criteria(as_of: dt.date) -> Column:
             ),
         )
 
+    called = dict(rules.CRITERIA)
     found = F.col("found")
     research = F.floor(F.lit(40) * F.size(found) / F.size("tokens") + 0.5)
     countries, languages = F.size("country_list") > 0, F.size("language_list") > 0
@@ -148,31 +150,31 @@ def _criteria(as_of: dt.date) -> Column:
         F.array(
             criterion(
                 F.size("tokens") > 0, "research", research, F.lit(40),
-                F.concat(F.lit("Research terms matched: "), F.array_join(found, ", ")),
+                F.concat(F.lit(called["research"]), F.array_join(found, ", ")),
             ),
             criterion(
                 countries, "country", hit(country_hit, country_max), country_max,
-                F.concat(F.lit("Preferred country matched: "), F.col("country")),
+                F.concat(F.lit(called["country"]), F.col("country")),
             ),
             criterion(
                 languages, "source-language", hit(language_hit, language_max), language_max,
-                F.lit("Preferred source language matched"),
+                F.lit(called["source-language"]),
             ),
             criterion(
                 F.col("deadline_wish") != "", "deadline", hit(in_time, F.lit(15)), F.lit(15),
-                F.lit("Deadline preference matched"),
+                F.lit(called["deadline"]),
             ),
             criterion(
                 F.col("wants_direct"), "direct-application", hit(F.col("direct"), direct_max), direct_max,
-                F.lit("Separate direct application is available"),
+                F.lit(called["direct-application"]),
             ),
             criterion(
                 F.col("wants_official"), "official-source", hit(F.col("official"), official_max), official_max,
-                F.lit("Institution-owned official source"),
+                F.lit(called["official-source"]),
             ),
             criterion(
                 F.lit(True), "completeness", complete * 2, F.lit(10),
-                F.concat(complete.cast("string"), F.lit(" of 5 comparison details are stated")),
+                F.concat(complete.cast("string"), F.lit(called["completeness"])),
             ),
         ),
         lambda c: c.isNotNull(),

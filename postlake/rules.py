@@ -143,6 +143,28 @@ SEARCHED_COLUMNS = (
 )
 PAGE_LIMIT, PAGE_LIMIT_MAX, OFFSET_MAX = 50, 100, 10_000
 
+# --- Fixed values: criteria of a preference score and what a match is called, in their order ------
+CRITERIA = (
+    ("research", "Research terms matched: "),
+    ("country", "Preferred country matched: "),
+    ("source-language", "Preferred source language matched"),
+    ("deadline", "Deadline preference matched"),
+    ("direct-application", "Separate direct application is available"),
+    ("official-source", "Institution-owned official source"),
+    ("completeness", " of 5 comparison details are stated"),
+)
+
+# --- Fixed values: rows of a comparison and their labels, in their order ----------------------
+COMPARISON = (
+    ("position", "Position"), ("institution", "Institution"), ("city", "City"), ("country", "Country"),
+    ("research", "Research areas"), ("source-language", "Source language"), ("posted", "Posted date"),
+    ("deadline", "Deadline"), ("duration", "Duration"), ("employment", "Employment type"),
+    ("salary", "Salary or funding"), ("official", "Official source"),
+    ("direct", "Direct application available"), ("sources", "Source count"),
+    ("verified", "Last verified"), ("preference", "Preference match"),
+    ("source-action", "Source action"), ("apply-action", "Apply action"),
+)
+
 # --- Fixed values: page addresses ----------------------------------------------------------
 ASSET_PATH = (
     r"(?i)\.(?:7z|avi|css|csv|docx?|eot|gif|gz|ico|jpe?g|js|json|m4a|mov|mp3|mp4|mpeg|pdf|png|pptx?"
