@@ -193,6 +193,7 @@ def rate_limit(
     per_visitor: int = rules.VISITOR_HOURLY_LIMIT,
     overall: int = rules.GLOBAL_HOURLY_LIMIT,
     window: str = "hour",
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``allowed`` and ``retry_after`` to ``requests(request_id, visitor_hash, ts)``.
 
@@ -200,7 +201,8 @@ def rate_limit(
     first ``overall`` are allowed; a refused request uses up nothing. Equal to deciding one
     by one: until the window is full, what a visitor has used are its first requests, and
     afterwards nothing passes. Both ranks are cut off before their shuffles, so a visitor or an
-    hour with a third of all requests ships a few rows per task.
+    hour with a third of all requests ships a few rows per task. ``used`` (as `rate_counts` gives it)
+    is what earlier requests have taken of the windows.
     """
     rows = hourly_windows(requests) if window == "hour" else requests.withColumn(
         "window_start", F.date_trunc(window, "ts")
@@ -209,8 +211,15 @@ def rate_limit(
     visitor = Window.partitionBy("visitor_hash", "window_start").orderBy(*order)
     everyone = Window.partitionBy("window_start").orderBy(*order)
     slim = rows.select("request_id", "visitor_hash", "window_start", "ts")
-    passed = slim.withColumn("rn", F.row_number().over(visitor)).where(F.col("rn") <= per_visitor).drop("rn")
-    passed = passed.withColumn("rn", F.row_number().over(everyone)).where(F.col("rn") <= overall)
+    passed = slim.withColumn("rn", F.row_number().over(visitor)).where(F.col("rn") <= per_visitor)
+    taken = F.coalesce("request_count", F.lit(0))
+    if used is not None:
+        own = used.where("scope_type = 'visitor'").select(F.col("scope_key").alias("visitor_hash"), "window_start", "request_count")
+        passed = passed.join(own, ["visitor_hash", "window_start"], "left").where(F.col("rn") + taken <= per_visitor).drop("request_count")
+    passed = passed.drop("rn").withColumn("rn", F.row_number().over(everyone)).where(F.col("rn") <= overall)
+    if used is not None:
+        all_ = used.where("scope_type = 'global'").select("window_start", "request_count")
+        passed = passed.join(all_, "window_start", "left").where(F.col("rn") + taken <= overall)
     return rows.join(
         passed.select("request_id", F.lit(True).alias("allowed")), "request_id", "left"
     ).withColumn("allowed", F.coalesce("allowed", F.lit(False)))
@@ -228,6 +237,12 @@ def rate_counts(limited: DataFrame) -> DataFrame:
     return visitor.unionByName(everyone)
 
 
+def add_counts(used: DataFrame, more: DataFrame) -> DataFrame:
+    """Counts of windows with those of a further batch."""
+    keys = ["scope_type", "scope_key", "window_start"]
+    return used.unionByName(more).groupBy(*keys).agg(F.sum("request_count").alias("request_count"))
+
+
 def recover_stale(
     requests: DataFrame, source_runs: DataFrame, sources: DataFrame, as_of: dt.datetime,
     batch: int | None = None,

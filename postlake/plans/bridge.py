@@ -10,6 +10,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postlake.sources.tables import _fs
+
 AS_OF = dt.date(2001, 6, 1)
 AS_OF_TS = dt.datetime(2001, 6, 1)
 EVENTS_DAY = dt.date(2024, 1, 15)
@@ -202,13 +204,34 @@ VIEWS: dict[str, str] = {
 _DEPENDS = {"incoming": ("postings",), "known": ("postings",)}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes from which on a table's files make a task for each core by themselves.
+_SPLIT = 64 << 20
+#: Tables whose rows cost much more to work on than to read.
+COSTLY = ("orders", "documents", "pages")
+
+
+def _table(spark: SparkSession, path: str, spread: bool) -> DataFrame:
+    """A table; with ``spread`` one that makes fewer tasks than there are cores is dealt to all of them.
+
+    A file of a few megabytes is one row group and so one task, whatever is then done to its rows.
+    Tables of many files are read as they are.
+    """
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread:
+        files, at = _fs(spark, path)
+        if files.getContentSummary(at(path)).getLength() < cores * _SPLIT:
+            return rows.repartition(cores)
+    return rows
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A table or a view of it as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return _table(spark, f"{sf_dir}/{name}.parquet", spread and name in COSTLY)
     text = VIEWS[name]
     used = [t for t in (*TABLES, *VIEWS) if "{" + t + "}" in text]
-    frames = {t: view(spark, sf_dir, t) for t in used}
+    frames = {t: view(spark, sf_dir, t, spread) for t in used}
     return spark.sql(text.replace("{first}", "0"), **frames)
 
 

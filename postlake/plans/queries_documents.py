@@ -39,7 +39,7 @@ def text_sql(c: str) -> str:
 
 @register("page_text", oracle=f"SELECT page_id, {text_sql('html')} AS text FROM pages")
 def _page_text(spark, d):
-    return links.page_text(view(spark, d, "pages")).select("page_id", "text")
+    return links.page_text(view(spark, d, "pages", spread=True)).select("page_id", "text")
 
 
 @register(
@@ -48,7 +48,7 @@ def _page_text(spark, d):
       CAST(sum(length({text_sql('html')})) AS BIGINT) AS chars_kept, round(sum(length({text_sql('html')})) / sum(length(html)), 6) AS kept_share FROM pages GROUP BY 1""",
 )
 def _share(spark, d):
-    rows = links.page_text(view(spark, d, "pages")).withColumn("host", F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
+    rows = links.page_text(view(spark, d, "pages", spread=True)).withColumn("host", F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
     return links.text_share(rows, "host")
 
 
@@ -77,7 +77,7 @@ def found(c, words):
         len(list_distinct(list_transform(regexp_extract_all(concat(title, ' ', body), '(?i){WORD.format('|'.join(TERMS))}'), lambda x: lower(x)))) AS n_terms FROM r""",
 )
 def _classify(spark, d):
-    rows = classify.classify_postings(view(spark, d, "entries"), terms=TERMS, excluded=OUT, informational=INFO)
+    rows = classify.classify_postings(view(spark, d, "entries", spread=True), terms=TERMS, excluded=OUT, informational=INFO)
     return rows.select("doc_id", "reason", F.size("matched_terms").cast("long").alias("n_terms"))
 
 
@@ -89,7 +89,7 @@ def _classify(spark, d):
 )
 def _validate(spark, d):
     key = F.col("o_orderkey")
-    rows = view(spark, d, "postings").withColumns(
+    rows = view(spark, d, "postings", spread=True).withColumns(
         {
             "institution": F.when(key % 6 == 0, "  ").otherwise(F.col("institution")),
             "apply_url": F.when(key % 10 == 0, "mailto:a@b.c").otherwise(F.col("apply_url")),
@@ -179,7 +179,7 @@ def _anchors(spark, d):
 
 def _pages_of(spark, d):
     """A page per posting: odd keys carry structured data, multiples of three an application link."""
-    p = view(spark, d, "postings")
+    p = view(spark, d, "postings", spread=True)
     key = F.col("o_orderkey")
     posting = F.to_json(
         F.struct(
@@ -270,7 +270,7 @@ def _listing(spark, d):
         link(key, "A"), link(key + 1, "B"), link(key, "C"), F.lit('<article><h2><a href="/user/1">x</a></h2></article><ul class="pager"><li><a href="?page='),
         (key % 9).cast("string"), F.lit('">next</a></li></ul>'),
     )
-    rows = view(spark, d, "postings").select(
+    rows = view(spark, d, "postings", spread=True).select(
         F.col("id").alias("page_id"), F.lit(FEED).alias("source_key"), F.lit("https://imechanica.org/taxonomy/term/73").alias("url"), html.alias("html")
     )
     return listings.listing_links(rows, sources_table(spark)).select("page_id", "kind", "url", "title")
@@ -282,7 +282,7 @@ def _portal_pages(spark, d):
         F.lit('<a href="/job/Post-'), key, F.lit("/"), key, F.lit('/">Postdoctoral '), "title", F.lit('</a> <a href="/about">About</a> <a href="/job/Post-'), key, F.lit("/"), key,
         F.lit('">Again</a> <a href="/go/Postdoctoral-Jobs/4537100/?startrow='), key, F.lit('">Next</a>'),
     )
-    return view(spark, d, "postings").select(
+    return view(spark, d, "postings", spread=True).select(
         F.col("id").alias("page_id"), F.lit(ORNL).alias("source_key"), F.lit("https://jobs.ornl.gov/go/Postdoctoral-Jobs/4537100/").alias("url"), html.alias("html")
     )
 
@@ -326,7 +326,7 @@ def _feed(spark, d):
         F.lit('</link><guid isPermaLink="false">'), F.col("doc_id").cast("string"), F.lit("</guid></item>"),
     )
     xml = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.split(text, "\n"), item), ""), F.lit("</channel></rss>"))
-    docs = view(spark, d, "documents").select("doc_id", F.col("source").alias("source_key"), xml.alias("xml"))
+    docs = view(spark, d, "documents", spread=True).select("doc_id", F.col("source").alias("source_key"), xml.alias("xml"))
     return feeds.feed_items(docs).select(
         "doc_id", "pos", F.md5(F.trim(F.regexp_replace("title", r"[\s\x{85}\x{a0}]+", " "))).alias("title_hash"), "link", "guid"
     )
@@ -343,7 +343,7 @@ def _listings_of(spark, d):
         post(F.concat(F.lit("/job/"), key, F.lit("_b")), F.concat(title, F.lit(" again")), key),
         post(F.lit(None).cast("string"), title, F.lit("none")),
     )
-    return view(spark, d, "postings").select(
+    return view(spark, d, "postings", spread=True).select(
         F.col("id").alias("doc_id"), F.lit(EMBL).alias("source_key"), F.to_json(F.struct(F.lit(3).alias("total"), rows.alias("jobPostings"))).alias("json"),
         "o_orderkey", "title", "country", "posted_at", "deadline", "is_active",
     )
@@ -388,7 +388,7 @@ def _fact_texts(spark, d):
     close = F.when(F.col("deadline").isNotNull(), F.concat(F.lit("Applications close: "), F.date_format("deadline", "MMMM d, yyyy"), F.lit("."))).otherwise("")
     term = F.when(key % 5 == 0, "Duration: two years.").when(key % 5 == 1, "The appointment is 18 months.").otherwise("")
     text = F.concat_ws(" ", F.lit("A postdoc at the"), F.concat(F.regexp_replace("institution", "#", ""), F.lit(" Institute")), F.concat(F.lit("in "), topic, F.lit(".")), place, close, term)
-    return view(spark, d, "postings").select(
+    return view(spark, d, "postings", spread=True).select(
         "id", "o_orderkey", "source_key", text.alias("text"), F.array(F.lit("Topic"), F.lit("topic")).alias("categories"), F.lit("").alias("apply_host"), "posted_at"
     )
 

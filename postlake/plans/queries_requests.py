@@ -1,11 +1,15 @@
 """Runs, source health, requests, visitors."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from postlake.operators import accounting, health, match, requests, visitors
 from postlake.plans.bridge import EVENTS_DAY, EVENTS_TS
 from postlake.plans.queries import register, view
 from postlake.schemas import REQUEST
+from postlake.session import scratch_path
+from postlake.sources import tables
 
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 NOW = f"TIMESTAMP '{EVENTS_TS}'"
@@ -262,6 +266,27 @@ def _retain(spark, d):
     return requests.retain(view(spark, d, "stored_requests"), windows, EVENTS_TS)[2]
 
 
+@register(
+    "retain_tables", "stored_requests", "requests",
+    oracle=f"""SELECT 'request' AS kind, id FROM stored_requests_v WHERE status = 'queued' OR requested_at >= {NOW} - INTERVAL 7 DAYS
+      UNION ALL SELECT 'window', request_id FROM requests_v WHERE ts >= {NOW} - INTERVAL 48 HOURS""",
+)
+def _retain_tables(spark, d):
+    """What is left of both tables, kept by day."""
+    root = scratch_path(spark, "retained")
+    kept = (
+        ("request", "requested_at", "status NOT IN ('queued', 'running')", view(spark, d, "stored_requests"), dt.timedelta(days=7)),
+        ("window", "ts", None, view(spark, d, "requests").select(F.col("request_id").alias("id"), "ts"), dt.timedelta(hours=48)),
+    )
+    out = None
+    for kind, ts, closed, rows, age in kept:
+        tables.write_days(rows, f"{root}/{kind}", ts, closed)
+        tables.retain_days(spark, f"{root}/{kind}", ts, EVENTS_TS - age)
+        left = spark.read.parquet(f"{root}/{kind}").select(F.lit(kind).alias("kind"), "id")
+        out = left if out is None else out.union(left)
+    return out
+
+
 @register(
     "recover_stale", "source_runs",
     oracle=f"""WITH {REQ_SQL}, stale AS (SELECT req.* FROM req JOIN orders o ON concat('r-', CAST(o.o_orderkey AS VARCHAR)) = req.id WHERE status <> 'success'
@@ -273,8 +298,6 @@ def _retain(spark, d):
       UNION ALL SELECT collection_run_id, source_key, CASE WHEN status = 'running' THEN 'failed' ELSE status END, mode_used FROM own""",
 )
 def _recover(spark, d):
-    import datetime as dt
-
     runs = view(spark, d, "source_runs")
     sources = spark.range(1, 8).select(
         F.concat(F.lit("source-"), F.col("id").cast("string")).alias("source_key"), F.col("id").cast("int").alias("position"), F.lit(True).alias("enabled")

@@ -15,11 +15,11 @@ _JOB_COLUMNS = [c.split()[0] for c in schemas.JOB.replace("\n", " ").split(",")]
 
 
 def _jobs(spark, d):
-    return content_fingerprint(view(spark, d, "postings").select(*_JOB_COLUMNS))
+    return content_fingerprint(view(spark, d, "postings", spread=True).select(*_JOB_COLUMNS))
 
 
 def _incoming(spark, d):
-    return content_fingerprint(view(spark, d, "incoming").select("batch_seq", *_JOB_COLUMNS))
+    return content_fingerprint(view(spark, d, "incoming", spread=True).select("batch_seq", *_JOB_COLUMNS))
 
 
 def _known(spark, d, jobs):

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from postlake.operators import visitors
 from postlake.plans.queries import register, view
 from postlake.schemas import sources_table
 from postlake.session import scratch_path
@@ -67,6 +68,44 @@ def _requests(spark, d):
     return spark.read.parquet(f"{root}/kept/decisions").select("request_id", "query_hash", "decision", "reuse_id")
 
 
+HOURS = ("2024-01-01 00:00:00", "2024-01-11 10:31:00", "2024-01-21 17:12:30", "2024-03-01 00:00:00")
+
+
+@register(
+    "rate_stream", "requests",
+    oracle="""WITH v AS (SELECT *, row_number() OVER (PARTITION BY visitor_hash, date_trunc('hour', ts) ORDER BY ts, request_id) AS rn FROM requests_v),
+      g AS (SELECT request_id, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, request_id) AS gn FROM v WHERE rn <= 3)
+      SELECT request_id, coalesce(gn <= 20, FALSE) AS allowed FROM requests_v LEFT JOIN g USING (request_id)""",
+)
+def _rates(spark, d):
+    root = scratch_path(spark, "rates")
+    rows = view(spark, d, "requests").select("request_id", "visitor_hash", "ts")
+    thirds = [rows.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(HOURS, HOURS[1:], strict=False)]
+    _delivered(spark, root, thirds, lambda stream: runs.rate_stream(stream, f"{root}/kept", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/kept/decisions").select("request_id", "allowed")
+
+
+@register(
+    "visitor_ranges", "visits",
+    oracle="""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, visitor_id FROM visits_v), r AS (SELECT a.day AS f, b.day AS l FROM (SELECT DISTINCT day FROM d) a JOIN (SELECT DISTINCT day FROM d) b ON a.day <= b.day)
+      SELECT CAST(f AS VARCHAR) AS first_day, CAST(l AS VARCHAR) AS last_day, count(DISTINCT visitor_id) AS exact, TRUE AS within_three_errors FROM r JOIN d ON d.day BETWEEN f AND l GROUP BY 1, 2""",
+)
+def _ranges(spark, d):
+    """Any range of days from the sketches that the stream keeps, beside the exact counts."""
+    root = scratch_path(spark, "visitors")
+    rows = view(spark, d, "visits").select("visitor_id", "ts")
+    thirds = [rows.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(HOURS, HOURS[1:], strict=False)]
+    _delivered(spark, root, thirds, lambda stream: runs.visitor_stream(stream, f"{root}/days", f"{root}/checkpoint"))
+    days, sketches = runs.read_visitor_days(spark, f"{root}/days"), spark.read.parquet(f"{root}/days-sketches")
+    seen = days.select("visit_date").distinct()
+    until = seen.agg(F.max("visit_date")).first()[0]
+    pairs = seen.select(F.col("visit_date").alias("first_day"), F.explode(F.sequence("visit_date", F.lit(until))).alias("last_day"))
+    pairs = pairs.join(seen, F.col("last_day") == F.col("visit_date"), "left_semi")
+    both = visitors.exact_range_counts(days, pairs).join(visitors.range_counts(sketches, pairs), ["first_day", "last_day"])
+    near = F.abs(F.col("visitors") - F.col("exact")) <= F.ceil(0.049 * F.col("exact"))
+    return both.select("first_day", "last_day", "exact", near.alias("within_three_errors"))
+
+
 FEED = "imechanica-job-channel"
 
 

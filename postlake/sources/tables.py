@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake.session import cut
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -71,6 +73,40 @@ def write_runs(runs: DataFrame, root: str, number: int | None = None) -> str:
     return write_snapshot(runs, root, number)
 
 
+def write_days(rows: DataFrame, root: str, ts: str, closed: str | None = None) -> None:
+    """A table by day of ``ts``, what may go (``closed``, an SQL condition) apart from what stays."""
+    parts = rows.withColumn("closed", F.coalesce(F.expr(closed or "true"), F.lit(False))).withColumn("day", F.to_date(ts))
+    parts.repartition("closed", "day").write.mode("append").partitionBy("closed", "day").parquet(root)
+
+
+def retain_days(spark: SparkSession, root: str, ts: str, until: dt.datetime) -> dict[str, list[str]]:
+    """Take closed rows older than ``until`` out of a table of `write_days`.
+
+    Days that end before go as whole folders; only the day of ``until`` itself is written anew, and no
+    file of any other day is touched. Tells which days were dropped and which rewritten.
+    """
+    fs, path = _fs(spark, root)
+    done: dict[str, list[str]] = {"dropped": [], "rewritten": []}
+    folder = f"{root}/closed=true"
+    if not fs.exists(path(folder)):
+        return done
+    boundary = until.date().isoformat()
+    for status in fs.listStatus(path(folder)):
+        name = status.getPath().getName()
+        if name.startswith("day=2") and name[4:] < boundary:
+            fs.delete(status.getPath(), True)
+            done["dropped"].append(name[4:])
+    if fs.exists(path(f"{folder}/day={boundary}")):
+        rows = spark.read.option("basePath", root).parquet(f"{folder}/day={boundary}")
+        kept = cut(rows.where(F.col(ts) >= F.lit(until)), "boundary-day")
+        if kept.isEmpty():
+            fs.delete(path(f"{folder}/day={boundary}"), True)
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("closed", "day").parquet(root)
+        done["rewritten"].append(boundary)
+    return done
+
+
 def seed_load(jobs: DataFrame, rows: DataFrame, as_of: dt.date) -> DataFrame:
     """Insert or replace demonstration rows by id.
 

@@ -17,8 +17,8 @@ from postlake.operators.classify import classify_postings, route_closed, validat
 from postlake.operators.lifecycle import close_observations, expire_observations, expire_postings
 from postlake.operators.merge import upsert_postings
 from postlake.operators.normalize import normalize_postings
-from postlake.operators.requests import answer_requests, usable
-from postlake.operators.visitors import merge_visitor_days, visitor_days
+from postlake.operators.requests import add_counts, answer_requests, rate_counts, rate_limit, usable
+from postlake.operators.visitors import day_sketches, merge_visitor_days, visitor_days
 from postlake.session import cut
 from postlake.sources.tables import read_snapshot, snapshots, write_jobs, write_observations, write_snapshot
 
@@ -45,12 +45,15 @@ def run_batches(
 def visitor_stream(visits: DataFrame, root: str, checkpoint: str):
     """Keep visitor days of a stream of visits under ``root``.
 
-    Each batch adds its own first visit per visitor and day; readers take the earliest. No
-    state is held and a late visit is never lost.
+    Each batch adds its own first visit per visitor and day; readers take the earliest. Beside them,
+    under ``root``-sketches, it adds a sketch of each day's visitors; sketches merge, so days may come
+    in any number of batches. No state is held and a late visit is never lost.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        visitor_days(batch).write.mode("overwrite").parquet(f"{root}/batch={number}")
+        days = cut(visitor_days(batch), "visitor-days")
+        days.write.mode("overwrite").parquet(f"{root}/batch={number}")
+        day_sketches(days).write.mode("overwrite").parquet(f"{root}-sketches/batch={number}")
 
     return run_batches(visits, handle, checkpoint)
 
@@ -110,6 +113,35 @@ def posting_stream(
 # --- requests --------------------------------------------------------------------------------
 
 
+def rate_stream(
+    requests: DataFrame, root: str, checkpoint: str, lateness: dt.timedelta = dt.timedelta(hours=2), **limits
+):
+    """Decide a stream of requests ``(request_id, visitor_hash, ts)`` by the hourly limits.
+
+    What has been used of the recent hours is kept from batch to batch: visitors of an hour first, then
+    the hour, as in `rate_limit`. Requests of an hour that is ``lateness`` behind the newest are set
+    aside undecided under ``root``/late, and the counts of such hours are dropped.
+    """
+    form = "scope_type string, scope_key string, window_start timestamp, request_count long"
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = cut(batch, "rate-batch")
+        used = read_snapshot(spark, f"{root}/used", form, number)
+        newest = batch.select(F.date_trunc("hour", "ts").alias("w")).union(used.select("window_start")).agg(F.max("w")).first()[0]
+        first = used.agg(F.max("window_start")).first()[0]  # only what is behind earlier batches is late
+        in_time = F.lit(True) if first is None else F.date_trunc("hour", "ts") >= F.lit(first - lateness)
+        limited = cut(rate_limit(batch.where(in_time), used=used, **limits), "limited")
+        limited.write.mode("overwrite").parquet(f"{root}/decisions/batch={number}")
+        batch.where(~in_time).write.mode("overwrite").parquet(f"{root}/late/batch={number}")
+        kept = add_counts(used, rate_counts(limited))
+        if newest is not None:
+            kept = kept.where(F.col("window_start") >= F.lit(newest - lateness))
+        write_snapshot(kept, f"{root}/used", number + 1)
+
+    return run_batches(requests, handle, checkpoint)
+
+
 def request_stream(requests: DataFrame, root: str, checkpoint: str, lateness: dt.timedelta = dt.timedelta(days=1)):
     """Answer a stream of requests ``(request_id, query_hash, ts)`` from the store under ``root``.
 
