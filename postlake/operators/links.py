@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake import rules
 from postlake.functions.text import html_text
 from postlake.functions.urls import with_address
+from postlake.session import cut
 from postlake.sources.listings import _bare, approved, detail_allowed, listing_allowed, with_source
 
 
@@ -76,140 +77,99 @@ def approved_links(links: DataFrame, sources: DataFrame, value: str = "url", hos
 
 # --- robots ---------------------------------------------------------------------------------
 
-_GROUP = (
-    "struct<agents:array<string>,"
-    "rules:array<struct<rule_no:int,type:string,path:string>>,delay:double,open:boolean>"
-)
+_DIRECTIVES = ("user-agent", "allow", "disallow", "crawl-delay")
 
 
-def robots_rules(files: DataFrame) -> DataFrame:
-    """``files(host, text)`` to one row per host with its groups of agents, rules and delay.
+def robots_lines(files: DataFrame) -> DataFrame:
+    """``files(host, text)`` to their directives: ``host, pos, directive, value, group_no``.
 
-    A rules file is parsed inside its row; nothing is shuffled.
+    A group starts at an agent that follows something else than an agent; what stands before the first
+    group, and directives that say nothing about access, go.
     """
-    lines = F.filter(
-        F.transform(
-            F.split(F.regexp_replace("text", "^﻿", ""), r"\r?\n"),
-            lambda line: F.trim(F.regexp_replace(line, r"\s+#.*$", "")),
-        ),
-        lambda line: line.contains(":"),
+    lines = F.split(F.regexp_replace("text", "^\ufeff", ""), r"\r?\n")
+    rows = files.select("host", F.posexplode(lines).alias("pos", "line"))
+    line = F.trim(F.regexp_replace("line", r"\s+#.*$", ""))
+    rows = rows.select("host", "pos", line.alias("line")).where(F.col("line").contains(":"))
+    rows = rows.select(
+        "host", "pos",
+        F.lower(F.trim(F.regexp_extract("line", "^([^:]*):", 1))).alias("directive"),
+        F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("value"),
+    ).where(F.col("directive").isin(*_DIRECTIVES))
+    order = Window.partitionBy("host").orderBy("pos")
+    agent = F.col("directive") == "user-agent"
+    rows = rows.withColumn("starts", agent & ~F.coalesce(F.lag(agent).over(order), F.lit(False)))
+    numbered = rows.withColumn("group_no", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.where("group_no > 0").drop("starts")
+
+
+def robots_rules(files: DataFrame, agent: str) -> tuple[DataFrame, DataFrame]:
+    """The rules that hold for ``agent``, ``(host, path, is_allow)``, and each host's ``(host, crawl_delay)``.
+
+    Groups that name the agent count, else those for ``*``. A rule is a row however many a file has.
+    """
+    lines = cut(robots_lines(files), "robots-lines")
+    named = F.max((F.col("directive") == "user-agent") & (F.lower("value") == agent.lower()))
+    general = F.max((F.col("directive") == "user-agent") & (F.col("value") == "*"))
+    seconds = F.col("value").try_cast("double")
+    delay = F.max_by(seconds, F.when((F.col("directive") == "crawl-delay") & (seconds >= 0), F.col("pos")))
+    groups = lines.groupBy("host", "group_no").agg(named.alias("named"), general.alias("general"), delay.alias("delay"))
+    any_named = groups.groupBy("host").agg(F.max("named").alias("any_named"))
+    groups = groups.join(any_named, "host").where(F.when(F.col("any_named"), F.col("named")).otherwise(F.col("general")))
+    groups = cut(groups.select("host", "group_no", "delay"), "robots-groups")
+    rules_ = (
+        lines.where(F.col("directive").isin("allow", "disallow") & (F.col("value") != ""))
+        .join(groups, ["host", "group_no"], "left_semi")
+        .groupBy("host", F.col("value").alias("path"))
+        .agg(F.max(F.col("directive") == "allow").alias("is_allow"))
     )
-    none = F.array().cast(f"array<{_GROUP}>")
-
-    def group(agents, rules_, delay, is_open) -> Column:
-        return F.struct(
-            agents.alias("agents"), rules_.alias("rules"), delay.alias("delay"), is_open.alias("open")
-        ).cast(_GROUP)
-
-    def step(groups: Column, line: Column) -> Column:
-        directive = F.lower(F.trim(F.regexp_extract(line, "^([^:]*):", 1)))
-        value = F.trim(F.regexp_extract(line, "^[^:]*:(.*)$", 1))
-        last = F.try_element_at(groups, F.lit(-1))
-        head = F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0)))
-        put = lambda g: F.concat(head, F.array(g))
-        rule = F.array(
-            F.struct(
-                F.size(last["rules"]).alias("rule_no"), directive.alias("type"), value.alias("path")
-            )
-        )
-        seconds = value.try_cast("double")
-        return (
-            F.when(
-                (directive == "user-agent") & (last.isNull() | ~last["open"]),
-                F.concat(
-                    groups,
-                    F.array(
-                        group(
-                            F.array(F.lower(value)),
-                            F.array().cast("array<struct<rule_no:int,type:string,path:string>>"),
-                            F.lit(None).cast("double"),
-                            F.lit(True),
-                        )
-                    ),
-                ),
-            )
-            .when(
-                directive == "user-agent",
-                put(group(F.concat(last["agents"], F.array(F.lower(value))), last["rules"], last["delay"], F.lit(True))),
-            )
-            .when(last.isNull(), groups)
-            .when(
-                directive.isin("allow", "disallow") & ((value != "") | (directive == "allow")),
-                put(group(last["agents"], F.concat(last["rules"], rule), last["delay"], F.lit(False))),
-            )
-            .when(
-                directive == "disallow",
-                put(group(last["agents"], last["rules"], last["delay"], F.lit(False))),
-            )
-            .when(
-                directive == "crawl-delay",
-                put(
-                    group(
-                        last["agents"], last["rules"],
-                        F.when(seconds >= 0, seconds).otherwise(last["delay"]), F.lit(False),
-                    )
-                ),
-            )
-            .otherwise(groups)
-        )
-
-    return files.select("host", F.aggregate(lines, none, step).alias("groups"))
+    delays = groups.groupBy("host").agg(F.min_by("delay", F.when(F.col("delay").isNotNull(), F.col("group_no"))).alias("crawl_delay"))
+    return cut(rules_, "robots-rules"), delays
+
+
+def _pattern(path: Column) -> Column:
+    body = F.regexp_replace(path, r"\$$", "")
+    escaped = F.regexp_replace(body, r"([.+?^${}()|\[\]\\])", r"\\$1")
+    end = F.when(path.endswith("$"), "$").otherwise("")
+    return F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit(".*")), end)
 
 
 def robots_decision(links: DataFrame, files: DataFrame, agent: str, value: str = "url") -> DataFrame:
     """Add ``allowed``, the deciding rule and the crawl delay for each link.
 
-    ``files(host, text, content_signal)`` has one row per host. The groups naming ``agent``
-    count, else those for ``*``; the longest matching path decides, allow wins a tie. Rules
-    stay an array of their host's row and are tested inside the link's row, so no
-    (link, rule) pairs are made; links of unknown hosts are allowed.
+    ``files(host, text, content_signal)`` has one row per host. The longest matching path decides,
+    allow wins a tie; links of unknown hosts are allowed. A plain rule is a prefix: the prefixes of an
+    address, of those lengths that its host's rules have, are looked up by an equi-join, so the cost of
+    a link does not grow with a file's rules. Only rules with wildcards are tested by pattern, inside
+    the address's row. Each address is decided once.
     """
-    parsed = robots_rules(files)
-    named = F.filter("groups", lambda g: F.array_contains(g["agents"], agent.lower()))
-    general = F.filter("groups", lambda g: F.array_contains(g["agents"], "*"))
-    chosen = F.when(F.size(named) > 0, named).otherwise(general)
-    signals = files.select(
-        "host",
-        F.coalesce("content_signal", F.lit(""))
-        .rlike(r"(?i)(?:^|[,;\s])search\s*=\s*no(?:$|[,;\s])")
-        .alias("refused"),
+    rules_, delays = robots_rules(files, agent)
+    wild = F.col("path").rlike("[*$]")
+    plain = rules_.where(~wild)
+    tested = F.struct(
+        F.length(F.regexp_replace("path", "[*$]", "")).alias("specificity"), F.col("is_allow"), F.col("path"), _pattern(F.col("path")).alias("pattern")
     )
-
-    def pattern(path: Column) -> Column:
-        body = F.regexp_replace(path, r"\$$", "")
-        escaped = F.regexp_replace(body, r"([.+?^${}()|\[\]\\])", r"\\$1")
-        end = F.when(path.endswith("$"), "$").otherwise("")
-        return F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit(".*")), end)
-
-    by_host = parsed.join(signals, "host").select(
-        "host",
-        "refused",
-        F.transform(
-            F.filter(F.flatten(F.transform(chosen, lambda g: g["rules"])), lambda r: r["path"] != ""),
-            lambda r: F.struct(
-                F.length(F.regexp_replace(r["path"], "[*$]", "")).alias("specificity"),
-                (r["type"] == "allow").alias("is_allow"),
-                r["path"].alias("path"),
-                pattern(r["path"]).alias("pattern"),
-            ),
-        ).alias("rules"),
-        F.element_at(
-            F.concat(
-                F.filter(F.transform(chosen, lambda g: g["delay"]), lambda d: d.isNotNull()),
-                F.array(F.lit(None).cast("double")),
-            ),
-            1,
-        ).alias("crawl_delay"),
+    by_host = rules_.groupBy("host").agg(
+        F.collect_set(F.when(~wild, F.length("path"))).alias("lengths"), F.collect_list(F.when(wild, tested)).alias("wild")
     )
+    refused = F.coalesce("content_signal", F.lit("")).rlike(r"(?i)(?:^|[,;\s])search\s*=\s*no(?:$|[,;\s])")
+    hosts = files.select("host", refused.alias("refused")).join(delays, "host", "left").join(by_host, "host", "left")
+
     rows = with_address(links, value, "__link").withColumn("host", F.col("__link.host"))
-    target = F.concat("__link.path", "__link.query")
-    joined = rows.withColumn("__target", target).join(by_host, "host", "left")
-    deciding = F.array_max(
-        F.filter("rules", lambda r: F.regexp_like(F.col("__target"), r["pattern"]))
+    rows = rows.withColumn("__target", F.concat("__link.path", "__link.query")).drop("__link")
+    targets = rows.where(F.col("host").isNotNull()).select("host", F.col("__target").alias("target")).distinct()
+    targets = targets.join(hosts.select("host", "lengths", "wild"), "host")
+    fits = F.array_max(F.filter("wild", lambda r: F.regexp_like(F.col("target"), r["pattern"])))
+    by_pattern = targets.select("host", "target", fits.alias("r")).where("r IS NOT NULL").select("host", "target", "r.specificity", "r.is_allow", "r.path")
+    prefixes = targets.select("host", "target", F.explode("lengths").alias("length")).where("length <= length(target)")
+    prefixes = prefixes.select("host", "target", F.expr("left(target, length)").alias("path"))
+    by_prefix = prefixes.join(plain, ["host", "path"]).select("host", "target", F.length("path").alias("specificity"), "is_allow", "path")
+    deciding = by_prefix.union(by_pattern).groupBy("host", F.col("target").alias("__target")).agg(
+        F.max(F.struct("specificity", "is_allow", "path")).alias("__rule")
     )
-    return joined.withColumn("__rule", deciding).withColumns(
+    joined = rows.join(hosts.select("host", "refused", "crawl_delay"), "host", "left").join(deciding, ["host", "__target"], "left")
+    return joined.withColumns(
         {
             "allowed": ~F.coalesce("refused", F.lit(False)) & F.coalesce("__rule.is_allow", F.lit(True)),
             "rule": F.when(F.col("refused"), "search=no").otherwise(F.col("__rule.path")),
         }
-    ).drop("__link", "__target", "__rule", "rules", "refused")
+    ).drop("__target", "__rule", "refused")
