@@ -1,6 +1,6 @@
 """Connected components of a links table, without collecting it anywhere.
 
-Links are first reduced within each task by union-find to a spanning forest. Then two steps repeat
+Links are first reduced, Arrow batch by Arrow batch, by union-find to spanning forests. Then two steps repeat
 until nothing changes: every node hangs its larger neighbours on its least one (large star), and its
 smaller neighbours and itself on the least of them (small star). Trees get flat in a logarithmic
 number of rounds. A node with very many neighbours is a sum of partial minima and a join that Spark

@@ -146,7 +146,8 @@ def _ranked(scored: DataFrame, share: tuple[int, int], least_words: int) -> Data
     """Add rank: the place among the long enough documents of those within the share, else NULL."""
     fits = F.col("n_words") >= least_words
     order = [F.col("fits").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
-    placed = scored.withColumn("fits", fits).repartitionByRange(*order).sortWithinPartitions(*order)
+    # written before it is sorted: finding the ranges would weigh every text once more
+    placed = cut(scored.withColumn("fits", fits), "resampling-scores").repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut(placed.withColumn("at", F.monotonically_increasing_id()), "resampling-order")
     span = F.shiftright("at", 33)
     ranges = placed.groupBy(span.alias("span")).agg(F.count_if("fits").alias("n")).orderBy("span").collect()
