@@ -27,7 +27,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,7 @@ DRAWS = 256
 #: The line of filling tails is cut into cells of so many tokens.
 CELL = 1 << 16
 _SLICE = 1 << 20
-_KNOWN = 800_000
+_KNOWN = 450_000
 #: What a vocabulary takes for white space, as a class: Python's own would add four control characters.
 _BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -64,12 +63,39 @@ class Ids:
     )
     between = re.compile(f"(?<=[^{_BLANKS}]) (?=[^{_BLANKS}])")
 
+    #: A chunk that is one word or stop to the vocabulary as it stands.
+    single = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[.,]+")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)  # without looking for words in words
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # how a byte-level vocabulary writes each byte of such a chunk
+        spelled = {c: pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(c)[0][0] for c in " .,Aé"}
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        other = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in own)}
+        self.bytes = {b: other.get(b, b) for b in range(256)}
+        if any(self._spelled(c) != v for c, v in spelled.items()):
+            raise ValueError(f"{path} is no byte-level vocabulary")
+        self.stop = self._spelled("\n")
+        self.stop_id = self.tokenizer.token_to_id(self.stop)
+
+    def _spelled(self, chunk: str) -> str:
+        return chunk.encode().decode("latin-1").translate(self.bytes)
+
+    def _of_words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of single words, a thousand to a call, told apart by a token that stands in none of them."""
+        lines = [[x for w in words[k : k + 1_000] for x in (self._spelled(w), self.stop)] for k in range(0, len(words), 1_000)]
+        for found in self.words.encode_batch_fast(lines, is_pretokenized=True, add_special_tokens=False):
+            ids = np.array(found.ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for end in (4 * np.flatnonzero(ids == self.stop_id)).tolist():
+                yield raw[start:end]
+                start = end + 4
 
     def _slices(self, text: str) -> Iterator[str]:
         start = 0
@@ -81,14 +107,17 @@ class Ids:
 
     def _of_group(self, texts: list[str]) -> list[bytes]:
         cut_up = [self.chunk.findall(t) for t in texts]
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        new = list(set().union(*cut_up).difference(self.known))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        ends = np.cumsum([4 * len(i) for i in ids]).tolist()
-        raw = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4 if ends else 0).tobytes()
-        self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        if len(self.known) > _KNOWN:  # what is not used again until the next time goes
+            self.older, self.known = self.known, {}
+        missing = set().union(*cut_up).difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update((c, self.older.pop(c)) for c in again)
+        new = missing - again
+        words = [c for c in new if self.single.fullmatch(c)]
+        rest = list(new.difference(words))
+        self.known.update(zip(words, self._of_words(words), strict=True))
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, found, strict=True))
         out = [b"".join(map(self.known.__getitem__, c)) for c in cut_up]
         for c in new:
             if len(c) > 40:
