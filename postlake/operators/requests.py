@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postlake import rules
 from postlake.functions.scans import carry_last, in_ranges
 from postlake.functions.text import BLANK, nfkc, strip
+from postlake.operators.accounting import request_status, run_status, run_totals
 from postlake.operators.search import normalize_filter_rows
 from postlake.session import cut
 
@@ -297,6 +298,17 @@ def recover_stale(
     return stale, ended.unionByName(added)
 
 
+def close_stale(
+    requests: DataFrame, source_runs: DataFrame, sources: DataFrame, matches: DataFrame, as_of: dt.datetime
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Recover stale requests and book what follows: (requests closed, their source runs, run statuses,
+    run totals). ``matches(id, matching_jobs)`` as in `request_status`."""
+    stale, ended = recover_stale(requests, source_runs, sources, as_of)
+    stale, ended = cut(stale, "stale"), cut(ended, "ended")
+    statuses = run_status(stale.select(F.col("collection_run_id").alias("run_id")), ended)
+    return request_status(stale, ended, matches, as_of), ended, statuses, run_totals(ended)
+
+
 def retain(requests: DataFrame, windows: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(requests kept, windows kept, one row of counts removed).
 

@@ -307,6 +307,36 @@ def _recover(spark, d):
     return ended.select("collection_run_id", "source_key", "status", "mode_used")
 
 
+@register(
+    "recovered_books", "source_runs",
+    oracle=f"""WITH {REQ_SQL}, stale AS (SELECT req.* FROM req JOIN orders o ON concat('r-', CAST(o.o_orderkey AS VARCHAR)) = req.id WHERE status <> 'success' AND o.o_orderdate < TIMESTAMP '2001-06-01'),
+      want AS (SELECT run, unnest(generate_series(1, expected)) AS i FROM stale WHERE expected > 0),
+      own AS (SELECT r.* FROM source_runs_v r JOIN stale ON stale.run = r.collection_run_id),
+      e AS (SELECT collection_run_id AS run, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, mode_used, jobs_inserted, items_received,
+          CASE WHEN status = 'running' THEN 'STALE_ON_DEMAND_SEARCH' ELSE error_code END AS error_code FROM own
+        UNION ALL SELECT run, 'failed', 'stale-recovery', 0, 0, 'STALE_ON_DEMAND_SEARCH' FROM want
+          WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.collection_run_id = want.run AND own.source_key = concat('source-', i))),
+      b AS (SELECT run, {RUN_STATE} AS run_status, count(*) AS sources_attempted, count(error_code) AS error_count, CAST(sum(items_received) AS BIGINT) AS items_received, CAST(sum(jobs_inserted) AS BIGINT) AS ins,
+          count(*) FILTER (status IN ('success', 'partial') OR (status = 'skipped' AND mode_used = 'recent-cache')) AS good,
+          count(*) FILTER (status = 'failed' OR (status = 'skipped' AND mode_used <> 'recent-cache')) AS bad FROM e GROUP BY run),
+      f AS (SELECT stale.*, b.* EXCLUDE (run), coalesce(good, 0) AS g, coalesce(bad, 0) AS w, coalesce(sources_attempted, 0) AS n FROM stale LEFT JOIN b ON b.run = stale.run)
+      SELECT id, CASE WHEN found > 0 THEN CASE WHEN w > 0 OR n <> expected THEN 'partial' ELSE 'success' END WHEN g > 0 THEN 'no_results' ELSE 'failed' END AS status,
+        CAST(least(n, expected) AS BIGINT) AS completed_sources, CAST(least(g, expected) AS BIGINT) AS sources_succeeded, coalesce(ins, 0) AS jobs_inserted, found AS matching_jobs,
+        coalesce(run_status, 'skipped') AS run_status, sources_attempted, error_count, items_received FROM f""",
+)
+def _recovered(spark, d):
+    sources = spark.range(1, 8).select(
+        F.concat(F.lit("source-"), F.col("id").cast("string")).alias("source_key"), F.col("id").cast("int").alias("position"), F.lit(True).alias("enabled")
+    )
+    rows = _requests_of_orders(spark, d)
+    matches = rows.select("id", F.col("matching").alias("matching_jobs"))
+    closed, _, statuses, totals = requests.close_stale(rows.drop("matching"), view(spark, d, "source_runs"), sources, matches, dt.datetime(2001, 6, 1, 0, 45))
+    books = statuses.withColumnRenamed("status", "run_status").join(totals.select("run_id", "sources_attempted", "error_count", "items_received"), "run_id", "left")
+    return closed.join(books, F.col("collection_run_id") == F.col("run_id")).select(
+        "id", "status", "completed_sources", "sources_succeeded", "jobs_inserted", "matching_jobs", "run_status", "sources_attempted", "error_count", "items_received"
+    )
+
+
 @register(
     "first_deliveries", "visits",
     oracle="SELECT CAST(visitor_id AS VARCHAR) AS message_id, min((ts, event_id)).event_id AS delivery FROM (SELECT visitor_id, ts, event_id FROM visits_v) GROUP BY 1"
