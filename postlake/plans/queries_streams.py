@@ -117,11 +117,18 @@ FEED = "imechanica-job-channel"
 )
 def _postings(spark, d):
     root = scratch_path(spark, "postings")
+    entries = _feed(_stream(spark, d, "orders"))
+    runs.posting_stream(entries, root, f"{root}/checkpoint", sources_table(spark), lambda: NOW).awaitTermination()
+    return read_snapshot(spark, f"{root}/jobs").select("id", "title", "deadline", "collection_state")
+
+
+def _feed(orders, words=""):
+    """Orders as entries of a feed; finished ones as closed entries, pending ones as another kind of post."""
     none, key = F.lit(""), F.col("o_orderkey").cast("string")
     deadline = F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 2000).cast("int"))
-    entries = _stream(spark, d, "orders").select(
+    return orders.select(
         F.lit(FEED).alias("source_key"),
-        F.concat(F.when(F.col("o_orderstatus") == "P", "Lecturer order ").otherwise("Postdoc order "), key).alias("title"),
+        F.concat(F.when(F.col("o_orderstatus") == "P", "Lecturer order ").otherwise("Postdoc order "), key, F.lit(words)).alias("title"),
         F.concat(F.lit("<p>Chemistry work. Apply by "), F.date_format(deadline, "d MMMM yyyy"), F.lit(".</p>")).alias("description_html"),
         F.concat(F.lit("https://imechanica.org/node/"), key).alias("link"), key.alias("guid"),
         F.when(F.col("o_orderstatus") == "F", key).alias("source_item_id"),
@@ -130,6 +137,23 @@ def _postings(spark, d):
         none.alias("employment_type"), F.lit(None).cast("string").alias("apply_url"), F.lit("en").alias("source_language"), F.lit("rss").alias("source_type"),
         (F.col("o_orderstatus") == "F").alias("closed"),
     )
-    runs.posting_stream(entries, root, f"{root}/checkpoint", sources_table(spark), lambda: NOW).awaitTermination()
-    return read_snapshot(spark, f"{root}/jobs").select("id", "title", "deadline", "collection_state")
 
+
+@register(
+    "posting_batches",
+    oracle=f"""WITH n AS (SELECT *, concat('https://imechanica.org/node/', o_orderkey) AS u, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2000 AS INT) AS dl FROM orders WHERE o_orderstatus = 'O')
+      SELECT concat('collected-', substr(sha256(concat('{FEED}', chr(10), u)), 1, 32)) AS id, concat('Postdoc order ', o_orderkey, ' revised') AS title, CAST(dl AS VARCHAR) AS deadline,
+        CASE WHEN o_orderpriority = '5-LOW' OR dl < DATE '2001-06-01' THEN 'expired' ELSE 'active' END AS collection_state, o_orderpriority <> '5-LOW' AS is_active, 1 AS observations FROM n""",
+)
+def _batches(spark, d):
+    """Three micro-batches: postings, the same with new titles, and these again while some are closed."""
+    root = scratch_path(spark, "postings")
+    orders = view(spark, d, "orders")
+    low = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "O")
+    revised = _feed(orders, " revised")
+    ended = _feed(orders.where(low)).withColumns({"source_item_id": F.col("link"), "closed": F.lit(True)})
+    parts = [_feed(orders), revised, _feed(orders.where(~low), " revised").unionByName(ended)]
+    _delivered(spark, root, parts, lambda stream: runs.posting_stream(stream, f"{root}/kept", f"{root}/checkpoint", sources_table(spark), lambda: NOW))
+    jobs = read_snapshot(spark, f"{root}/kept/jobs")
+    seen = read_snapshot(spark, f"{root}/kept/observations").groupBy("job_id").agg(F.count("*").alias("observations"))
+    return jobs.join(seen, F.col("id") == F.col("job_id")).select("id", "title", "deadline", "collection_state", "is_active", "observations")
