@@ -96,3 +96,19 @@ def test_links_in_linear_time():
     assert (last["heading"], last["parent"], last["excluded"]) == ("Apply", "<li><a href='z'>q</a> here", False)
 
 
+
+
+def test_patterns_are_tried_where_their_words_stand(spark):
+    """A text that holds no pattern's word is told by fixed words alone; stems lose no match."""
+    from postlake import rules
+    from postlake.operators import facts
+
+    for _, pattern in rules.RESEARCH_AREAS:
+        assert all(stem for stem in facts._stems(pattern)), pattern
+    assert facts._stems("materials? science|a(b)") == [""] and facts._stems("materials? science|robots*x") == ["material", "robot"]
+    texts = ["MATERIAL SCIENCE in the U.S.A.", "in GREAT\n BRITAIN, ROBOTICS", "uK; aarhus,  denmark", "neutral", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(facts.area_of(F.col("text")), facts._named_country(F.col("text"))).collect()
+    area = [r[0] for r in got]
+    assert area == ["Materials Science", "Engineering", rules.OTHER_AREA, rules.OTHER_AREA, rules.OTHER_AREA]
+    assert [r[1] for r in got] == ["United States", "United Kingdom", "United Kingdom", None, None]
