@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,7 +75,18 @@ def range_counts(sketches: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def exact_range_counts(days: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The same from the visitor days themselves, exactly."""
-    wanted = ranges.select("first_day", "last_day", F.explode(F.sequence("first_day", "last_day")).alias("visit_date"))
-    seen = wanted.join(days.select("visit_date", "visitor_hash").distinct(), "visit_date", "left")
-    return seen.groupBy("first_day", "last_day").agg(F.count_distinct("visitor_hash").alias("exact"))
+    """The same from the visitor days themselves, exactly.
+
+    In a range a visitor counts at the first of its days there, whose day before lies ahead of the range.
+    So visitor days are counted once by day and by the visitor's day before, and ranges read these counts.
+    """
+    seen = days.where("visitor_hash IS NOT NULL").select("visit_date", "visitor_hash").distinct()
+    before = F.lag("visit_date").over(Window.partitionBy("visitor_hash").orderBy("visit_date"))
+    steps = seen.withColumn("before", before).groupBy("visit_date", "before").agg(F.count("*").alias("n"))
+    wanted = ranges.select("first_day", "last_day").distinct()
+    own = wanted.select("first_day", "last_day", F.explode(F.sequence("first_day", "last_day")).alias("visit_date"))
+    first = own.join(steps, "visit_date").where("before IS NULL OR before < first_day")
+    counts = first.groupBy("first_day", "last_day").agg(F.sum("n").alias("exact"))
+    return wanted.join(counts, ["first_day", "last_day"], "left").select(
+        "first_day", "last_day", F.coalesce("exact", F.lit(0).cast("long")).alias("exact")
+    )

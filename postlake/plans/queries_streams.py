@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postlake.operators import visitors
 from postlake.plans.queries import register, view
 from postlake.schemas import sources_table
-from postlake.session import scratch_path
+from postlake.session import cut, scratch_path
 from postlake.sources.tables import read_snapshot
 from postlake.streaming import runs
 
@@ -96,7 +96,7 @@ def _ranges(spark, d):
     rows = view(spark, d, "visits").select("visitor_id", "ts")
     thirds = [rows.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(HOURS, HOURS[1:], strict=False)]
     _delivered(spark, root, thirds, lambda stream: runs.visitor_stream(stream, f"{root}/days", f"{root}/checkpoint"))
-    days, sketches = runs.read_visitor_days(spark, f"{root}/days"), spark.read.parquet(f"{root}/days-sketches")
+    days, sketches = cut(runs.read_visitor_days(spark, f"{root}/days"), "visitor-days"), spark.read.parquet(f"{root}/days-sketches")
     seen = days.select("visit_date").distinct()
     until = seen.agg(F.max("visit_date")).first()[0]
     pairs = seen.select(F.col("visit_date").alias("first_day"), F.explode(F.sequence("visit_date", F.lit(until))).alias("last_day"))

@@ -89,3 +89,18 @@ def test_retention_touches_no_kept_day(spark, tmp_path):
     again = retain_days(spark, root, "at", until)
     assert again["dropped"] == [] and {r.id for r in spark.read.parquet(root).select("id").collect()} == want
     assert retain_days(spark, str(tmp_path / "none"), "at", until) == {"dropped": [], "rewritten": []}
+
+
+def test_ranges_count_visitors_without_a_row_for_each_range(spark):
+    """Exact counts by range: days between, days before and no days at all; work follows the visitor days."""
+    from postlake.operators.visitors import exact_range_counts
+
+    d = lambda n: dt.date(2024, 1, n)
+    days = [("a", 1), ("a", 3), ("a", 3), ("b", 2), ("c", 5), ("c", 1), (None, 4)]
+    rows = spark.createDataFrame([(v, d(n)) for v, n in days], "visitor_hash string, visit_date date")
+    ranges = spark.createDataFrame([(d(f), d(t)) for f in range(1, 8) for t in range(f, 8)] + [(d(1), d(7))], "first_day date, last_day date")
+    got = {(r.first_day.day, r.last_day.day): r.exact for r in exact_range_counts(rows, ranges).collect()}
+    assert got == {(f, t): len({v for v, n in days if v and f <= n <= t}) for f in range(1, 8) for t in range(f, 8)}
+    # Rows that leave a shuffle follow the days of visitors, not the ranges.
+    text = exact_range_counts(rows, ranges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in text
