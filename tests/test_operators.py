@@ -166,3 +166,25 @@ def test_tables(spark, tmp_path):
     assert [(r.title, r.deadline, r.is_demo) for r in got] == [("New", dt.date(2026, 8, 11), True)]
     sample = sample_postings(spark.createDataFrame([(7, None, -3, "T")], "template_no int, deadline_offset int, posted_offset int, title string"), T0.date()).first()
     assert (sample.id, sample.deadline, sample.posted_at, sample.created_at) == ("job-007", None, dt.date(2026, 7, 30), dt.datetime(2026, 7, 30, 10))
+
+
+def test_rows_that_repeat_an_identity_look_for_no_other_key(spark, monkeypatch):
+    """A repeat follows the first row of its identity; only first rows and rows without one search further."""
+    from postlake import schemas
+    from postlake.operators import match
+
+    columns = [c.split()[0] for c in schemas.JOB.replace("\n", " ").split(",")]
+    base = spark.createDataFrame([], "batch_seq long, explicit boolean, " + schemas.JOB)
+    given = [(1, "a", "x1", "t"), (2, "a", "x1", "u"), (3, "a", "x1", "t"), (4, "b", "y2", "T"), (5, None, None, "u"), (6, None, None, "z")]
+    small = spark.createDataFrame(given, "batch_seq long, source_key string, source_item_id string, title string").withColumns(
+        {"institution": F.lit("I"), "deadline": F.lit("2026-01-01").cast("date"), "explicit": F.lit(False)}
+    )
+    rows = small.select("batch_seq", "explicit", *[
+        (F.col(c) if c in small.columns else F.lit(None)).cast(base.schema[c].dataType).alias(c) for c in columns
+    ])
+    asked = []
+    wanted = match.wanted_keys
+    monkeypatch.setattr(match, "wanted_keys", lambda rows, *steps: asked.append(sorted(r[0] for r in rows.select("batch_seq").collect())) or wanted(rows, *steps))
+    got = sorted((r.batch_seq, r.leader, r.step) for r in match.batch_leaders(rows).collect())
+    assert got == [(2, 1, match.IDENTITY), (3, 1, match.IDENTITY), (4, 1, match.CONTENT), (5, 2, match.CONTENT)]
+    assert asked == [[1, 4, 5, 6]]
