@@ -379,3 +379,12 @@ def test_classify(spark):
     both = spark.createDataFrame([(1, True), (2, False), (3, None)], "i int, closed boolean")
     open_, closed = route_closed(both)
     assert (open_.count(), closed.count()) == (2, 1)
+
+
+def test_sources_are_joined_without_a_product(spark, sources):
+    """A key that is the same for all pages leaves a join without a key: every page must still be read once."""
+    rows = spark.range(10_000_000).select(
+        F.col("id").alias("page_id"), F.lit(ORNL).alias("source_key"), F.lit("https://jobs.ornl.gov/go/x/").alias("url"), F.lit("<a href='/job/a/1/'>a</a>").alias("html"), F.lit("").alias("listing_title"),
+    )
+    for found in (portal_links(rows, sources), listing_links(rows, sources), portal_entries(rows, sources)):
+        assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
