@@ -92,3 +92,14 @@ def test_addresses(spark):
     assert run(spark, ["https://A.org/x/#f", "ftp://a", "http://a.org"], comparable) == [
         "https://a.org/x", None, "http://a.org/",
     ]
+
+
+def test_plain_addresses_and_texts_are_as_parsed_ones(spark):
+    """What the short ways give is what the long ones give: the same with a port, or with markup around it."""
+    paths = ("", "/", "/a", "/a//b//", "/a/../b", "/.x/y", "/a?x=1&&y", "/a?ref=1&x=2", "/a?refs=1", "/a?u=http://b/c?d", "?x=1", "/a?x=1&UTM_a")
+    rows = spark.createDataFrame([(f"https://a.org{p}", f"https://A.org:443{p}") for p in paths], "v string, w string")
+    both = with_address(with_address(rows, "v", "short"), "w", "long")
+    assert [r.v for r in both.where("NOT (short <=> long)").collect()] == []
+    texts = spark.createDataFrame([(" a b ",), ("a\u00a0b",), ("a  b",), ("",), ("\u3000a",), ("a\tb",), ("a &amp; b",)], "t string")
+    got = texts.select("t", html_text(F.col("t"), None).alias("n"), html_text(F.concat(F.lit("<i>"), "t", F.lit("</i>")), None).alias("m"))
+    assert [r.t for r in got.where("n <> m").collect()] == []
