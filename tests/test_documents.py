@@ -11,7 +11,7 @@ from postlake.operators.normalize import normalize_postings
 from postlake.operators.classify import classify_postings, route_closed, validate_postings
 from postlake.sources.api import api_details, api_listings
 from postlake.sources.feeds import feed_items, feed_quarantine
-from postlake.sources.listings import crawl_frontier, listing_links, portal_links
+from postlake.sources.listings import crawl_frontier, listing_links, portal_links, with_source
 from postlake.sources.pages import (
     application_link, jsonld_postings, page_anchors, page_entries, portal_entries,
 )
@@ -388,3 +388,10 @@ def test_sources_are_joined_without_a_product(spark, sources):
     )
     for found in (portal_links(rows, sources), listing_links(rows, sources), portal_entries(rows, sources)):
         assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_source_stay_apart(spark, sources):
+    """All rows of a source meet its one row of the dimension where they are, not in one task."""
+    key = F.when(F.col("id") >= 0, FEED).otherwise(ORNL)
+    rows = spark.range(10_000_000).select(key.alias("source_key"))
+    assert "Exchange hashpartitioning" not in with_source(rows, sources)._jdf.queryExecution().executedPlan().toString()
