@@ -395,3 +395,26 @@ def test_rows_of_one_source_stay_apart(spark, sources):
     key = F.when(F.col("id") >= 0, FEED).otherwise(ORNL)
     rows = spark.range(10_000_000).select(key.alias("source_key"))
     assert "Exchange hashpartitioning" not in with_source(rows, sources)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entries_are_read_once(spark, sources):
+    """Bodies, links and entries start from one table of the entries read, so none reads them again."""
+    from postlake import schemas
+
+    fields = {f.name: f.dataType for f in spark.createDataFrame([], schemas.ENTRY).schema}
+    given = {"source_key": FEED, "title": "Postdoc", "link": "https://imechanica.org/node/1", "description_html": "Tides"}
+    rows = spark.range(3).select(*[F.lit(given.get(n)).cast(t).alias(n) for n, t in fields.items()])
+    jobs = normalize_postings(rows, sources, NOW)
+    assert "Range (" not in jobs._jdf.queryExecution().executedPlan().toString()
+    assert jobs.count() == 3
+
+
+def test_small_deliveries_are_dealt_to_all_cores(spark, monkeypatch):
+    from postlake import session
+
+    rows = spark.range(1000, numPartitions=1)
+    dealt = session.spread(rows)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
+    monkeypatch.setattr(session, "SPLIT", 0)  # a table large enough is left as it is
+    assert session.spread(rows).rdd.getNumPartitions() == 1
