@@ -188,3 +188,20 @@ def test_rows_that_repeat_an_identity_look_for_no_other_key(spark, monkeypatch):
     got = sorted((r.batch_seq, r.leader, r.step) for r in match.batch_leaders(rows).collect())
     assert got == [(2, 1, match.IDENTITY), (3, 1, match.IDENTITY), (4, 1, match.CONTENT), (5, 2, match.CONTENT)]
     assert asked == [[1, 4, 5, 6]]
+
+
+def test_a_step_makes_its_own_keys_only(spark):
+    """A step that compares no observation reads none, and keys are made by generated code."""
+    from postlake.operators import match
+
+    item = [(1, "a", "https://a.example/1", dt.datetime(2026, 1, 2)), (2, "a", "https://a.example/1", dt.datetime(2026, 1, 1)), (3, "b", "https://a.example/1", T0)]
+    jobs = spark.createDataFrame(item, "n long, source_key string, canonical_url string, first_seen_at timestamp").select(
+        F.concat(F.lit("job-"), "n").alias("id"), "source_key", "canonical_url", "first_seen_at", F.lit("collected").alias("origin_type"), F.lit(False).alias("is_demo"),
+        F.col("canonical_url").alias("source_url"), F.col("canonical_url").alias("apply_url"), F.col("n").cast("string").alias("source_item_id"),
+        *[F.lit("x").alias(c) for c in ("institution", "country", "title", "content_hash")], F.lit(None).cast("date").alias("deadline"),
+    )
+    batch = jobs.select(F.col("first_seen_at").cast("long").alias("batch_seq"), F.lit(True).alias("explicit"), *[c for c in match.COMPARED if c in jobs.columns])
+    broken = spark.range(1).select(*[F.raise_error(F.lit("observations were read")).cast("string").alias(c) for c in ("job_id", "source_key", "source_item_id")])
+    got = {(r.job_id, r.step) for r in match.match_canonical(batch, jobs, broken).collect()}
+    assert got == {("job-2", match.CANONICAL), ("job-3", match.CANONICAL)}
+    assert "lambdafunction" not in match.wanted_keys(batch, *range(7))._jdf.queryExecution().optimizedPlan().toString()
