@@ -25,7 +25,7 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -50,12 +50,27 @@ _KNOWN = 450_000
 _BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+class _Known(dict[str, bytes]):
+    """The ids of chunks; those of a chunk not seen before are found when it is asked for."""
+
+    def __init__(self, older: dict[str, bytes], encode: Callable[[str], bytes]):
+        self.older, self.encode = older, encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        if len(chunk) <= 40:
+            self[chunk] = ids
+        return ids
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
     A byte-level vocabulary's tokens never reach over the chunks that ``chunk`` cuts: a word with the
     blank before it, stops after a word, other visible runs, and white space. Every chunk is
-    tokenized by itself, many at a time, and those seen before are looked up.
+    tokenized by itself, and those seen before are looked up.
     """
 
     chunk = re.compile(
@@ -71,9 +86,9 @@ class Ids:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer(self.tokenizer.model)  # without looking for words in words
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model  # without looking for words in words
+        self.four = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        self.known = _Known({}, self._of_chunk)
         # how a byte-level vocabulary writes each byte of such a chunk
         spelled = {c: pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(c)[0][0] for c in " .,Aé"}
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -81,21 +96,14 @@ class Ids:
         self.bytes = {b: other.get(b, b) for b in range(256)}
         if any(self._spelled(c) != v for c, v in spelled.items()):
             raise ValueError(f"{path} is no byte-level vocabulary")
-        self.stop = self._spelled("\n")
-        self.stop_id = self.tokenizer.token_to_id(self.stop)
 
     def _spelled(self, chunk: str) -> str:
         return chunk.encode().decode("latin-1").translate(self.bytes)
 
-    def _of_words(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of single words, a thousand to a call, told apart by a token that stands in none of them."""
-        lines = [[x for w in words[k : k + 1_000] for x in (self._spelled(w), self.stop)] for k in range(0, len(words), 1_000)]
-        for found in self.words.encode_batch_fast(lines, is_pretokenized=True, add_special_tokens=False):
-            ids = np.array(found.ids, "<u4")
-            raw, start = ids.tobytes(), 0
-            for end in (4 * np.flatnonzero(ids == self.stop_id)).tolist():
-                yield raw[start:end]
-                start = end + 4
+    def _of_chunk(self, chunk: str) -> bytes:
+        if self.single.fullmatch(chunk):
+            return b"".join([self.four[t.id] for t in self.model.tokenize(self._spelled(chunk))])
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _slices(self, text: str) -> Iterator[str]:
         start = 0
@@ -106,23 +114,11 @@ class Ids:
             start = end
 
     def _of_group(self, texts: list[str]) -> list[bytes]:
-        cut_up = [self.chunk.findall(t) for t in texts]
         if len(self.known) > _KNOWN:  # what is not used again until the next time goes
-            self.older, self.known = self.known, {}
-        missing = set().union(*cut_up).difference(self.known)
-        again = missing.intersection(self.older)
-        self.known.update((c, self.older.pop(c)) for c in again)
-        new = missing - again
-        words = [c for c in new if self.single.fullmatch(c)]
-        rest = list(new.difference(words))
-        self.known.update(zip(words, self._of_words(words), strict=True))
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(rest, found, strict=True))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut_up]
-        for c in new:
-            if len(c) > 40:
-                del self.known[c]
-        return out
+            self.known.older = {}
+            self.known = _Known(self.known, self._of_chunk)
+        of = self.known.__getitem__
+        return [b"".join(map(of, self.chunk.findall(t))) for t in texts]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; about a megabyte is worked on at a time."""

@@ -125,3 +125,18 @@ def test_ids_do_not_depend_on_slices(monkeypatch):
 @given(st.lists(st.sampled_from(["word", "Öl", " ", "  ", "\n", ".", ",", "'", "'s", "1", "²", "-", "\t", "é", "ñ", "×", "日", "ǅ", "\u00a0", "\x1c", "e\u0301"]), max_size=14).map("".join))
 def test_chunks_end_where_tokens_do(text):
     assert packing._ids(PATH).of([text])[0] == np.array(plain([text])[0][:-1], "<u4").tobytes()
+
+
+def test_a_chunk_is_encoded_when_it_is_first_met(monkeypatch):
+    known, asked = packing.Ids(PATH), []
+    encode = known._of_chunk
+    monkeypatch.setattr(known.known, "encode", lambda c: asked.append(c) or encode(c))
+    texts = ["one two, one two, one", "two one two " + "x" * 41 + " " + "x" * 41]
+    want = [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.of(texts)] == want
+    assert sorted(c for c in asked if len(c) < 40) == sorted({c for t in texts for c in known.chunk.findall(t) if len(c) < 40})
+    assert max(map(len, known.known)) < 40  # long ones are not kept
+    monkeypatch.setattr(packing, "_KNOWN", 0)
+    again = list(asked)
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.of(texts)] == want
+    assert [c for c in asked[len(again) :] if len(c) < 40] == []  # what was seen before is taken over
