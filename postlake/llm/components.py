@@ -1,7 +1,7 @@
 """Connected components of a links table, without collecting it anywhere.
 
 Links are first reduced, Arrow batch by Arrow batch, by union-find to spanning forests. Then two steps repeat
-until nothing changes: every node hangs its larger neighbours on its least one (large star), and its
+until all trees are flat: every node hangs its larger neighbours on its least one (large star), and its
 smaller neighbours and itself on the least of them (small star). Trees get flat in a logarithmic
 number of rounds. A node with very many neighbours is a sum of partial minima and a join that Spark
 may split; nothing gathers its neighbours.
@@ -57,6 +57,14 @@ def _hung(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
+def _is_flat(edges: DataFrame) -> bool:
+    """Whether every node that hangs on another hangs on one only, on which all others of its tree hang too."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    both = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return both.where("up + down > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for every node of ``links`` (a, b) the least node it is connected with.
 
@@ -64,12 +72,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
     edges = cut(edges.mapInArrow(_forest, _EDGES), "forest")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
-        if state[0] == 0 or tuple(state) == before:
-            break
-        before = tuple(state)
+    while not _is_flat(edges):
         edges = cut(_hung(_hung(edges, large=True), large=False), "stars")
     tails = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return tails.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

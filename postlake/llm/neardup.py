@@ -296,8 +296,8 @@ def _block_links(percent: int):
     return run
 
 
-def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the classes as all links of their band buckets would.
+def linked(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that have links, as all links of their band buckets connect them.
 
     ``signed`` has (id, bands, bins, small), one row for each class; ``texts`` has (id, text).
     """
@@ -305,15 +305,17 @@ def links(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = cut(buckets.join(many, "bucket").select("bucket", "id", F.lit(None).cast("long").alias("component")), "buckets")
     stars = cut(_verified(cut(_pivot_pairs(buckets), "pairs"), texts, width, percent), "links")
-    mixed = cut(_mixed(buckets, components(stars)), "mixed")
+    grouped = components(stars)
+    mixed = cut(_mixed(buckets, grouped), "mixed")
     blocks = _in_blocks(mixed.join(signed.select("id", F.substring("bins", 1, SKETCH).alias("bins"), "small"), "id"))
     near = cut(blocks.mapInArrow(_near_members, "bucket long, id long").distinct(), "near")
     if near.isEmpty():
-        return stars
+        return grouped
     sets = texts.join(bounded(near.select("id").distinct()), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary")
     sets = cut(sets, "near-sets")
     rest = mixed.join(near, ["bucket", "id"], "left_semi").join(signed, "id").join(sets, "id")
-    return stars.union(cut(_in_blocks(rest).mapInArrow(_block_links(percent), "a long, b long").distinct(), "links"))
+    found = cut(_in_blocks(rest).mapInArrow(_block_links(percent), "a long, b long").distinct(), "links")
+    return components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
 
 def _told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -338,7 +340,7 @@ def _told_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 
 def _grouped(texts: DataFrame, width: int, percent: int, repeated: bool) -> tuple[DataFrame, DataFrame]:
-    """The sets' sizes (node, n_shingles) of ``texts`` (node, text), and (of, group) of the nodes that have links."""
+    """The sets' sizes (node, n_shingles) of ``texts`` (node, text), and their (of, group)."""
     signed = texts.select("node", "text").mapInArrow(_signed(width, percent), "node long, n_shingles long, words binary, bands array<long>, bins binary")
     signed = cut(signed, "signed")
     classes = (
@@ -350,10 +352,11 @@ def _grouped(texts: DataFrame, width: int, percent: int, repeated: bool) -> tupl
     classes = cut(classes, "classes")
     own = texts.select(F.col("node").alias("id"), "text")
     own = own.groupBy("id").agg(F.first("text").alias("text")) if repeated else own  # one row for each node
-    found = links(classes.select("id", "bands", "bins", "small"), own, width, percent)
-    members = signed.select("node", "words").join(classes.select("words", "id"), "words")
-    same = members.where("node != id").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    grouped = components(found.union(same)).select(F.col("node").alias("of"), F.col("component").alias("group"))
+    found = linked(classes.select("id", "bands", "bins", "small"), own, width, percent)
+    members = signed.where("node is not null").select(F.col("node").alias("of"), "words").join(classes.select("words", "id"), "words").select("of", "id")
+    members = members.distinct() if repeated else members
+    # A class is named by its least node, so the least class of a group is its least node too.
+    grouped = members.join(found, F.col("id") == F.col("node"), "left").select("of", F.coalesce("component", "id").alias("group"))
     return signed.select("node", "n_shingles"), grouped
 
 

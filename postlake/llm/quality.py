@@ -178,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     data = [(places[k].values.to_numpy(), values[k].values.to_numpy()) for k in range(len(places))]
     order = sorted(range(len(data)), key=lambda k: (len(data[k][0]), data[k][0].tobytes()))  # not the order of arrival
     labels_ = found.column("quality").to_numpy().astype(float)
+    del found, places, values
     return fit([data[k] for k in order], labels_[order])
 
 

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from postlake.llm import neardup
-from postlake.llm.components import components
+from postlake.llm.components import _hung, components
 from tests.llm import brute
 
 
@@ -126,3 +126,15 @@ def test_components(spark):
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: find(x) for x in linked}
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_flat_trees_take_no_round(spark, monkeypatch):
+    rounds, hung = [], _hung
+    monkeypatch.setattr("postlake.llm.components._hung", lambda edges, large: rounds.append(large) or hung(edges, large))
+    star = [(n, 0) for n in range(1, 50)]
+    found = components(spark.createDataFrame(star, "a long, b long").coalesce(1))
+    assert {tuple(r) for r in found.collect()} == {(n, 0) for n in range(50)}
+    assert rounds == []
+    found = components(spark.createDataFrame([*star, (0, -1), (70, 60), (70, 65)], "a long, b long").repartition(9))
+    assert {tuple(r) for r in found.collect()} == {(n, -1) for n in range(-1, 50)} | {(n, 60) for n in (60, 65, 70)}
+    assert rounds
