@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -268,3 +269,33 @@ def test_closing(spark, priorities):
     assert states(close(("b", "2"))) == {"a-1": (True, None), "b-3": (True, None)}
     assert states(close(("a", "1"))) == {"a-1": (False, "primary_source_closed"), "b-3": (True, None)}
     assert states(close(("b", "3"), ("z", "9"))) == {"a-1": (True, None), "b-3": (False, "primary_source_closed")}
+
+
+def test_a_batch_is_kept_in_little_room(spark, tmp_path):
+    """Scratch tables take less than 130 bytes a delivery (360 before, at scale 0.1)."""
+    from postlake.plans.queries import load_all
+
+    rows = spark.range(40_000).select(
+        F.expr("id DIV 4").alias("l_orderkey"), F.expr("CAST(id % 4 AS INT)").alias("l_linenumber"), F.expr("id % 997").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"),
+        F.lit(1.0).alias("l_quantity"), F.expr("CASE (id * 7) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END").alias("l_returnflag"),
+        F.expr("IF((id * 13) % 5 < 2, 'O', 'F')").alias("l_linestatus"),
+    )
+    rows.repartition(4, F.rand(1)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    names = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("*")}
+    before = names()
+    out = load_all()["fold_batch"].run(spark, str(tmp_path))
+    assert (out.count(), out.agg(F.sum("deliveries"), F.sum("inserted")).first()[0:2]) == (10_000, (40_000, 10_000))
+    made = [p for n in names() - before for p in (Path(spark.conf.get("spark.checkpoint.dir")) / n).rglob("*.parquet")]
+    assert sum(p.stat().st_size for p in made) < 40_000 * 130
+
+
+def test_chains_over_identities_and_stored_rows(spark, priorities):
+    """Rows that follow a repeat of another identity, and repeats whose first row was stored under another key."""
+    shared = "https://apply.org/jobs/9"
+    first = [row("b", "n1", deadline=dt.date(2026, 9, 9), title="Old")]
+    second = [
+        row("c", "p1", title="One"), row("c", "p1", title="Two", apply_url=shared), row("c", "p2", title="Other", apply_url=shared),
+        row("c", "p2", title="Again"), row("c", "p3", deadline=dt.date(2026, 9, 9), title="Old"), row("c", "p3", title="Since"),
+        row("c", "p4", apply_url="https://apply.org/jobs/10"), row("c", "p5", title="P5", apply_url="https://apply.org/jobs/10"), row("c", "p6", title="P5", url=URL["c"] + "p5"),
+    ]
+    check(spark, priorities, [first, second])
