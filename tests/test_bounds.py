@@ -112,3 +112,46 @@ def test_patterns_are_tried_where_their_words_stand(spark):
     area = [r[0] for r in got]
     assert area == ["Materials Science", "Engineering", rules.OTHER_AREA, rules.OTHER_AREA, rules.OTHER_AREA]
     assert [r[1] for r in got] == ["United States", "United Kingdom", "United Kingdom", None, None]
+
+
+def test_an_entry_is_read_once(spark, sources, monkeypatch):
+    """Cleaning writes one table on its way and takes no address of a page apart again; parts agree with a second reading."""
+    from postlake import schemas
+    from postlake.functions.urls import with_address
+    from postlake.operators import normalize
+
+    written = []
+    cut = normalize.cut
+    monkeypatch.setattr(normalize, "cut", lambda df, label="step": written.append(label) or cut(df, label))
+    links = [
+        "https://www.imechanica.org/node/1/?ref=f#top", "HTTP://imechanica.org:80//a/../b/?utm_x=1&b=&&c#d", "https://www.imechanica.org/r?u=://www.imechanica.org/x", "https://imechanica.org",
+        "https://imechanica.org/?source", "https://imechanica.org/a b/ü?q={1}", "https://www.imechanica.org/r/?u=1&ref=2&v=3", "ftp://x.org/", None,
+    ]
+    body = '<p>Postdoc, duration: two years, at the University of Oxford. Location: Bonn, Germany.</p><p><a href="y?utm_a=b&x=1">Apply now</a></p>'
+    entry = {"source_key": "imechanica-job-channel", "title": "iMechanica: Postdoc", "description_html": body, "pub_date": "2026-01-01", "source_type": "rss"}
+    columns = [c.split()[0] for c in schemas.ENTRY.replace("\n", " ").split(",")]
+    rows = spark.createDataFrame([tuple({**entry, "link": link}.get(c) for c in columns) for link in links], schemas.ENTRY)
+    out = {r.source_url: r for r in normalize.normalize_postings(rows, sources, __import__("datetime").datetime(2026, 1, 2)).collect()}
+    assert written == ["read-entries"]
+    assert out["https://imechanica.org/node/1"].apply_url == "https://imechanica.org/node/y?x=1"
+    assert {(r.city, r.country, r.duration) for r in out.values()} == {("Bonn", "Germany", "2 years")}
+
+    read = with_address(rows.select("link"), "link", "page").withColumn("page_url", F.when(F.col("page.host") == "www.imechanica.org", F.replace("page.url", F.lit("://www."), F.lit("://"))).otherwise(F.col("page.url")))
+    again = with_address(normalize._with_own_address(read), "page_url", "again").collect()
+    assert len(again) == len(links) and [r.own for r in again] == [r.again for r in again]
+
+
+def test_blanks_and_stated_facts(spark):
+    """Only what is no single space is replaced; the words found give the same parts as the whole text."""
+    from postlake.functions.text import squeeze
+    from postlake.operators.facts import deadline_in, duration_in
+
+    texts = ["a b", " a  b\t", "a\nb", " a   b　", "\x0b", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(squeeze(F.col("t"))).collect()]
+    assert got == ["a b", "a b", "a b", "a b", "", "", None]
+    texts = [
+        ("for a 24-month term, duration: one year", "1 year"), ("a two-year fixed-term position", "2 years"), ("MONTHS pass", ""), ("Duration: 3 monthsX; 18 month role", "18 months"),
+        ("a 12-month role. Apply by 1 May 2027", "12 months"), (None, ""),
+    ]
+    rows = spark.createDataFrame(texts, "t string, d string").select("d", duration_in(F.col("t")).alias("got"), deadline_in(F.col("t")).alias("date")).collect()
+    assert [r.got for r in rows] == [r.d for r in rows] and [str(r.date) for r in rows if r.date] == ["2027-05-01"]
