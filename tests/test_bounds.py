@@ -155,3 +155,21 @@ def test_blanks_and_stated_facts(spark):
     ]
     rows = spark.createDataFrame(texts, "t string, d string").select("d", duration_in(F.col("t")).alias("got"), deadline_in(F.col("t")).alias("date")).collect()
     assert [r.got for r in rows] == [r.d for r in rows] and [str(r.date) for r in rows if r.date] == ["2027-05-01"]
+
+
+def test_a_page_is_read_once_for_entry_and_advertisement(spark, monkeypatch):
+    """What a page shows and states is written once; the advertisement it names is read from there."""
+    from postlake.sources import pages as module
+
+    written = []
+    cut = module.cut
+    monkeypatch.setattr(module, "cut", lambda df, label="step": written.append(label) or cut(df, label))
+    node = json.dumps({"@type": "JobPosting", "title": "Postdoc", "description": "postdoctoral", "url": "https://careers.example.org/jobs/7"})
+    rows = spark.createDataFrame(
+        [("p", "k", "https://imechanica.org/1", f'<script type="application/ld+json">{node}</script><h1>Else</h1>', "https://imechanica.org/l"), ("q", "k", "https://imechanica.org/2", "<h1>Postdoc  two</h1>", None)],
+        "page_id string, source_key string, url string, html string, listing_url string",
+    )
+    got = {r.page_id: (r.title, r.apply_url, r.application_reason) for r in page_entries(rows).collect()}
+    assert written == ["read-pages"]
+    assert got["p"] == ("Postdoc", "https://careers.example.org/jobs/7", "official_vacancy_link")
+    assert got["q"] == ("Postdoc two", "https://imechanica.org/2", "source_detail_fallback")
